@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def materialize(df: DataFrame, name: str = "step", bucket: tuple[int, str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it again.
 
     Cuts lineage without local copies: a lost executor loses nothing, since every
@@ -54,7 +54,18 @@ def materialize(df: DataFrame, name: str = "step", bucket: tuple[int, str] | Non
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stemma-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stemma_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`materialize` wrote, once all that was made of it is written itself."""
+    path = getattr(df, "_stemma_path", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
