@@ -83,10 +83,20 @@ class Form(NamedTuple):
     words: tuple  # of an organisation
 
 
+class _Fold(dict):
+    """code point -> folded characters, filled as they occur."""
+
+    def __missing__(self, o: int) -> str:
+        v = self[o] = "".join(c for c in unicodedata.normalize("NFKD", chr(o).casefold()) if not unicodedata.combining(c))
+        return v
+
+
+_FOLD = _Fold()
+
+
 def strip_marks(s: str) -> str:
-    if s.isascii():
-        return s.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c))
+    """Case folded, without accents and compatibility forms."""
+    return s.lower() if s.isascii() else s.translate(_FOLD)
 
 
 def surname_key(s: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import p1_neardup, p2_visual, p5_encoding
+from stemma.llm import p1_neardup, p2_visual, p3_names, p5_encoding
 from stemma.session import table
 
 
@@ -26,6 +26,14 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return p2_visual.canonical_forms(table(spark, d, "corpus"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_names.found(table(spark, d, "corpus"), table(spark, d, "authority"))
+
+
+def p3_resolved(spark: SparkSession, d: str) -> DataFrame:
+    return p3_names.resolve(table(spark, d, "corpus"), table(spark, d, "authority"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_encoding.found(table(spark, d, "corpus"))
 
@@ -39,6 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
+    "p3_found": p3_found,
+    "p3_resolved": p3_resolved,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
 }

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -62,8 +63,11 @@ def h64(s: str) -> int:
     return v - (1 << 64) if v >= 1 << 63 else v
 
 
+@lru_cache(maxsize=200_000)
 def bucket(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word[:HEAD]) % WORD_BUCKETS
+    """The bucket of a word's n-gram: a long word's set of letters, which swaps, doublings
+    and many dropped letters leave as it is; a short word itself."""
+    return xxhash.xxh3_64_intdigest("".join(sorted(set(word))) if len(word) > 4 else word) % WORD_BUCKETS
 
 
 def word_bucket(word: str) -> int:
@@ -154,7 +158,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ab = r["abstract"]
             akey = None
             if ab and len(ab) > 40:
-                akey = h64(" ".join(_WORD.findall(strip_marks(ab[:400])))[:60]) if not placeholder(ab) else None
+                akey = h64(" ".join(_WORD.findall(strip_marks(ab[:120])))[:60]) if not placeholder(ab) else None
             cls = h64("\x1f".join([title, str(vol), str(review), str(cut), str(r["year"]), doi or "", ";".join(sorted(forms)), cont or "", "" if title else str(akey), "" if title else ";".join(isbn)]))
             for col, v in zip(out, (r["record_id"], cls, title, words, len(words), vol, review, cut, r["year"], doi, keys, forms, cont, isbn, akey, sorted(nat))):
                 col.append(v)

@@ -116,10 +116,17 @@ _TABLE = compile_table()
 _ALIKE = compile_look_alikes()
 _MARK = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯"
 _CLUSTER = re.compile(f"[^{_MARK}][{_MARK}]*|[{_MARK}]+", re.S)
-_PLAIN = re.compile(r"[\x00-\x7f]*")
-#: any character that can take part in a case; texts without one are returned at once
-_ODD = re.compile("[" + re.escape("".join(sorted(k for k in _TABLE if len(k) == 1))) + _MARK + "Ͱ-ӿ]")
-_KINDS_IN_WORD = ("invisible", "width", "accent", "")
+#: characters that can take part in a case whatever stands beside them
+_ODD = frozenset([k for k in _TABLE if len(k) == 1] + [chr(o) for lo, hi in ((0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30)) for o in range(lo, hi)])
+_OTHER_SCRIPT = re.compile("[\u0370-\u04ff]")
+#: two scripts in one word, or a lone letter of another script
+_MIXED = re.compile("[A-Za-z\u00c0-\u024f][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z\u00c0-\u024f]|[\u0370-\u03ff][\u0400-\u04ff]|[\u0400-\u04ff][\u0370-\u03ff]|(?<![^\\W\\d_])[\u0370-\u04ff]\\.")
+
+
+def _worth(text: str) -> bool:
+    return not _ODD.isdisjoint(text) or (_OTHER_SCRIPT.search(text) is not None and _MIXED.search(text) is not None)
+
+
 
 
 class Transducer:
@@ -149,7 +156,7 @@ class Transducer:
         return hit
 
     def form(self, text: str | None, skip: Callable[[str], bool] | None = None) -> tuple[str | None, frozenset]:
-        if not text or text.isascii() or not _ODD.search(text):
+        if not text or text.isascii() or not _worth(text):
             return text, frozenset()
         out: list[str] = []
         word: list[str] = []
