@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import p1_neardup, p2_visual, p3_names, p5_encoding
-from stemma.session import table
+from stemma.llm import p1_neardup, p2_visual, p3_names, p4_queries, p5_encoding, p7_packing, p8_mixing
+from stemma.session import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,22 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return p5_encoding.restored(table(spark, d, "corpus"))
 
 
+def p7_packing_windows(spark: SparkSession, d: str) -> DataFrame:
+    return p7_packing.pack(p7_packing.document_sizes(table(spark, d, "documents")))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return p7_packing.fill_report(materialize(p7_packing_windows(spark, d), "packed"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return p8_mixing.mixture(p8_mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return p8_mixing.shares(p8_mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -49,8 +65,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_canonical": p2_canonical,
     "p3_found": p3_found,
     "p3_resolved": p3_resolved,
+    "p4_percentiles": p4_queries.p4_percentiles,
+    "p4_digests": p4_queries.p4_digests,
+    "p4_combined": p4_queries.p4_combined,
+    "p4_rank_check": p4_queries.p4_rank_check,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
+    "p7_packing": p7_packing_windows,
+    "p7_fill": p7_fill,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
 }
 
 SQL: dict[str, str] = {}

@@ -17,6 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stemma.llm import names
 from stemma.llm.encoding import repair
@@ -40,14 +41,15 @@ _DOI = re.compile(r"10\.\d{4,9}/\S+")
 _ABSENT = re.compile(r"^\W*(?:no abstract available|abstract|tba|n/?a|see full text|kein abstract|résumé non disponible|abstract not supplied|not available|none|null|without abstract|sans résumé|sin resumen)?\W*$", re.I)
 
 SCHEMA = (
-    "record_id bigint, cls bigint, title string, words array<int>, n_words int, vol int, review boolean, cut boolean, year int, doi string, "
-    "keys array<string>, authors array<string>, container string, isbn array<string>, abstract_key bigint, nat array<bigint>"
+    "record_id bigint, nat array<bigint>, year int, doi string, cls bigint, title string, words array<int>, sig bigint, vol int, "
+    "review boolean, cut boolean, keys array<string>, authors string, container string, isbn string, abstract_key bigint"
 )
-ARROW = pa.schema([
-    ("record_id", pa.int64()), ("cls", pa.int64()), ("title", pa.string()), ("words", pa.list_(pa.int32())), ("n_words", pa.int32()), ("vol", pa.int32()),
-    ("review", pa.bool_()), ("cut", pa.bool_()), ("year", pa.int32()), ("doi", pa.string()), ("keys", pa.list_(pa.string())), ("authors", pa.list_(pa.string())),
-    ("container", pa.string()), ("isbn", pa.list_(pa.string())), ("abstract_key", pa.int64()), ("nat", pa.list_(pa.int64())),
+_MADE = pa.schema([
+    ("cls", pa.int64()), ("title", pa.string()), ("words", pa.list_(pa.int32())), ("sig", pa.int64()), ("vol", pa.int32()), ("review", pa.bool_()), ("cut", pa.bool_()),
+    ("keys", pa.list_(pa.string())), ("authors", pa.string()), ("container", pa.string()), ("isbn", pa.string()), ("abstract_key", pa.int64()),
 ])
+#: separators of flattened lists and of their parts
+LIST, PART = "\x1e", "\x1f"
 
 
 def roman(s: str) -> int:
@@ -112,6 +114,10 @@ def plain_doi(doi: str | None) -> str | None:
     return m.group().rstrip(".,;:\"'") if m else None
 
 
+#: the same in SQL
+PLAIN_DOI = "nullif(regexp_extract(lower(doi), '(10[.][0-9]{4,9}/[^ \\\\t\\\\n]*[^ \\\\t\\\\n.,;:\"\\'])', 1), '')"
+
+
 def isbn13(s: str | None) -> str | None:
     """The 13 digits of an ISBN with a right check digit, else None."""
     if not s:
@@ -131,40 +137,63 @@ def placeholder(abstract: str | None) -> bool:
     return abstract is None or bool(_ABSENT.match(abstract))
 
 
-def author_parts(authors: list | None) -> tuple[list[str], list[str]]:
+def _signature(words: list[int]) -> int:
+    """Parities of the set in 64 parts: the bits two rows differ in bound their set difference from below."""
+    sig = 0
+    for w in words:
+        sig ^= 1 << (w * 0x9E3779B1 >> 7 & 63)
+    return sig - (1 << 64) if sig >= 1 << 63 else sig
+
+
+@lru_cache(maxsize=50_000)
+def _folded(s: str) -> str:
+    return " ".join(_WORD.findall(strip_marks(canonical(s))))
+
+
+def author_parts(authors: str | None) -> tuple[list[str], str]:
     """(blocking keys: head of each surname and, for a single author, its tail; comparable forms)."""
+    if not authors:
+        return [], ""
     forms = []
-    for a in authors or ():
-        f = names.parse(a.get("name"), a.get("type")) if a else None
+    for a in authors.split(LIST):
+        name, _, kind = a.partition(PART)
+        f = names.parse(name, kind or None)
         if f:
             forms.append(f)
     keys = {f.surname[:HEAD] for f in forms if f.surname}
     if len(forms) == 1 and len(forms[0].surname) > HEAD:
         keys.add("~" + forms[0].surname[-HEAD:])
-    return sorted(keys), [f.surname + "|" + ",".join(f.givens) if f.kind == "person" else f.surname + "|=" + f.initials for f in forms]
+    return sorted(keys), ";".join(f.surname + "|" + ",".join(f.givens) if f.kind == "person" else f.surname + "|=" + f.initials for f in forms)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[] for _ in ARROW]
-        for r in batch.to_pylist():
-            title, vol, review, cut = title_parts(r["title"])
-            doi = plain_doi(r["doi"])
-            keys, forms = author_parts(r["authors"])
-            words = list(dict.fromkeys(bucket(w) for w in title.split() if len(w) > 1)) or [bucket(w) for w in title.split()[:1]]
-            nat = {h64(f"{s['source']}\x1f{s['source_id']}") for s in [*(r["sources"] or ()), r] if s and s["source"] and s["source_id"]}
-            isbn = sorted({x for x in map(isbn13, [*(r["isbn"] or ()), r["isbn_issn"]]) if x})
-            cont = " ".join(_WORD.findall(strip_marks(canonical(r["container"])))) if r["container"] else None
-            ab = r["abstract"]
+        out: list[list] = [[] for _ in _MADE]
+        cols = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
+        for year, doi, raw, names_, isbns, cont, ab in zip(*cols):
+            title, vol, review, cut = title_parts(raw)
+            keys, forms = author_parts(names_)
+            split = title.split()
+            words = list(dict.fromkeys([bucket(w) for w in split if len(w) > 1])) or [bucket(w) for w in split[:1]]
+            isbn = ";".join(sorted({x for x in map(isbn13, isbns.split(LIST)) if x})) if isbns else ""
+            container = _folded(cont) if cont else None
             akey = None
             if ab and len(ab) > 40:
-                akey = h64(" ".join(_WORD.findall(strip_marks(ab[:120])))[:60]) if not placeholder(ab) else None
-            cls = h64("\x1f".join([title, str(vol), str(review), str(cut), str(r["year"]), doi or "", ";".join(sorted(forms)), cont or "", "" if title else str(akey), "" if title else ";".join(isbn)]))
-            for col, v in zip(out, (r["record_id"], cls, title, words, len(words), vol, review, cut, r["year"], doi, keys, forms, cont, isbn, akey, sorted(nat))):
+                akey = h64(" ".join(_WORD.findall(strip_marks(ab)))[:60])
+            cls = h64("\x1f".join([title, str(vol), str(review), str(cut), str(year), doi or "", ";".join(sorted(forms.split(";"))), container or "", "" if title else str(akey), "" if title else isbn]))
+            for col, v in zip(out, (cls, title, words, _signature(words), vol, review, cut, keys, forms, container, isbn, akey)):
                 col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, ARROW)], schema=ARROW)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, f.type) for c, f in zip(out, _MADE))], names=[*batch.schema.names[:4], *_MADE.names])
+
+
+NATURAL_KEYS = "array_distinct(transform(filter(concat(coalesce(sources, array()), array(struct(source, source_id))), s -> s.source is not null and s.source_id is not null), s -> xxhash64(s.source, s.source_id)))"
+_AUTHORS = "array_join(transform(filter(authors, a -> a.name is not null), a -> concat(a.name, '\x1f', coalesce(a.type, ''))), '\x1e')"
 
 
 def normalised(corpus: DataFrame) -> DataFrame:
     """One row of comparable parts per row of ``corpus``."""
-    return corpus.select("record_id", "source", "source_id", "sources", "title", "authors", "year", "doi", "isbn", "isbn_issn", "abstract", "container").mapInArrow(_rows, SCHEMA)
+    df = corpus.select(
+        "record_id", F.expr(NATURAL_KEYS).alias("nat"), "year", F.expr(PLAIN_DOI).alias("doi"), "title", F.expr(_AUTHORS).alias("authors"),
+        F.expr("array_join(concat(coalesce(isbn, array()), array(isbn_issn)), '\x1e')").alias("isbn"), "container", F.expr("substr(abstract, 1, 120)").alias("abstract"),
+    )
+    return df.mapInArrow(_rows, SCHEMA)
