@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import p1_neardup, p2_visual, p3_names, p4_queries, p5_encoding, p7_packing, p8_mixing
+from stemma.llm import p1_neardup, p2_visual, p3_names, p4_queries, p5_encoding, p6_survivor, p7_packing, p8_mixing, p9_toxicity
 from stemma.session import materialize, table
 
 
@@ -42,6 +42,22 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return p5_encoding.restored(table(spark, d, "corpus"))
 
 
+def _p6_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    corpus = table(spark, d, "corpus")
+    groups = materialize(p1_neardup.groups(corpus), "groups")
+    return corpus, groups, p6_survivor.claims(corpus, groups)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    _, _, claimed = _p6_claims(spark, d)
+    return p6_survivor.found(claimed, p6_survivor.fuse(claimed)[0])
+
+
+def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
+    corpus, groups, claimed = _p6_claims(spark, d)
+    return p6_survivor.survivors(corpus, table(spark, d, "source_policy"), claimed, groups)
+
+
 def p7_packing_windows(spark: SparkSession, d: str) -> DataFrame:
     return p7_packing.pack(p7_packing.document_sizes(table(spark, d, "documents")))
 
@@ -58,6 +74,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return p8_mixing.shares(p8_mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_toxicity.found(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return p9_toxicity.scores(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return p9_toxicity.rates(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -71,10 +99,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_rank_check": p4_queries.p4_rank_check,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
+    "p6_found": p6_found,
+    "p6_survivors": p6_survivors,
     "p7_packing": p7_packing_windows,
     "p7_fill": p7_fill,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 
 SQL: dict[str, str] = {}

@@ -30,7 +30,7 @@ HEAD = 5
 
 # Marks that cataloguers add to titles, words for volumes and reviews.
 _TRAILERS = re.compile(
-    r"\s*(?:\[(?:article|elektronische ressource|electronic resource|text|print|online|review|rec\.?)\]|\((?:pp?\.|s\.)\s*[\d–—-]+\)|\((?:sic|print|online)\)|\((?:studien und texte|texts and studies)\s+\d+\)|/)\s*$", re.I
+    r"\s*(?:\[(?!\s*(?:\.\.\.|…))[^\[\]]{2,40}\]|\((?:pp?\.|s\.)\s*[\d–—-]+\)|\((?:sic|print|online)\)|\([^()\d†]{4,40}\s\d{1,3}\)|/)\s*$", re.I
 )
 _CUT = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\.\.\.|…)\s*$")
 _VOLUME = re.compile(r"\b(?:vol|volume|band|bd|tome|tomo|tom|tomus|τομος|том|teil|часть)\b\.?\s*([ivxlc]{1,6}|\d{1,3})\b")
@@ -66,10 +66,17 @@ def h64(s: str) -> int:
 
 
 @lru_cache(maxsize=200_000)
-def bucket(word: str) -> int:
-    """The bucket of a word's n-gram: a long word's set of letters, which swaps, doublings
-    and many dropped letters leave as it is; a short word itself."""
-    return xxhash.xxh3_64_intdigest("".join(sorted(set(word))) if len(word) > 4 else word) % WORD_BUCKETS
+def grams(word: str) -> tuple[int, ...]:
+    """The buckets of a word's n-grams: the set of letters of a word, or of each half of a long one.
+
+    Swapped and doubled letters leave a set of letters as it is; another slip changes one half only.
+    """
+    if len(word) < 8:
+        parts = ("".join(sorted(set(word))) if len(word) > 4 else word,)
+    else:
+        half = len(word) // 2
+        parts = ("<" + "".join(sorted(set(word[:half]))), ">" + "".join(sorted(set(word[half:]))))
+    return tuple(xxhash.xxh3_64_intdigest(p) % WORD_BUCKETS for p in parts)
 
 
 def word_bucket(word: str) -> int:
@@ -174,7 +181,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             title, vol, review, cut = title_parts(raw)
             keys, forms = author_parts(names_)
             split = title.split()
-            words = list(dict.fromkeys([bucket(w) for w in split if len(w) > 1])) or [bucket(w) for w in split[:1]]
+            words = list(dict.fromkeys([g for w in split if len(w) > 1 for g in grams(w)])) or [g for w in split[:1] for g in grams(w)]
             isbn = ";".join(sorted({x for x in map(isbn13, isbns.split(LIST)) if x})) if isbns else ""
             container = _folded(cont) if cont else None
             akey = None
