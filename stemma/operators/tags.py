@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 RELEVANCE = ("none", "marginal", "partial", "core")
 COUNTED = ("core", "partial")
-NONE_REASONS = ("not-applicable", "homonym", "text-by-origen", "false-positive", "off-topic", "no-information")
+NONE_REASONS = ("not-applicable", "homonym", "text-by-subject", "false-positive", "off-topic", "no-information")
 
 
 def latest(log: DataFrame, key: str = "notice_id", order: tuple[str, ...] = ("tagged_at", "tag_row_id")) -> DataFrame:
@@ -108,7 +108,7 @@ def validate(answers: DataFrame, works: list[str], themes: list[str], approaches
     """
     rel = F.trim(F.coalesce("relevance", F.lit("")))
     reason = F.when(rel != "none", F.lit("not-applicable")).otherwise(F.coalesce(F.nullif(F.trim("relevance_none_reason"), F.lit("")), F.lit("not-applicable")))
-    floor = F.col("curated") & (rel == "none") & ~reason.isin("homonym", "text-by-origen")
+    floor = F.col("curated") & (rel == "none") & ~reason.isin("homonym", "text-by-subject")
     lifted = F.when(floor, F.lit("marginal")).otherwise(rel)
     ceiling = F.col("by_subject") & lifted.isin(*COUNTED)
     final = F.when(ceiling, F.lit("marginal")).otherwise(lifted)

@@ -1,0 +1 @@
+"""Structured Streaming: the tag log as a stream."""
