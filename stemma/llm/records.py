@@ -26,7 +26,7 @@ from stemma.llm.visual import canonical
 
 #: folded words and word heads are hashed into so many buckets: the size bound of the rarity tables
 WORD_BUCKETS = 1 << 18
-HEAD = 5
+HEAD = 7
 
 # Marks that cataloguers add to titles, words for volumes and reviews.
 _TRAILERS = re.compile(
@@ -158,7 +158,7 @@ def _folded(s: str) -> str:
 
 
 def author_parts(authors: str | None) -> tuple[list[str], str]:
-    """(blocking keys: head of each surname and, for a single author, its tail; comparable forms)."""
+    """(blocking keys: the letters of each surname and, for a single author, its head; comparable forms)."""
     if not authors:
         return [], ""
     forms = []
@@ -167,9 +167,9 @@ def author_parts(authors: str | None) -> tuple[list[str], str]:
         f = names.parse(name, kind or None)
         if f:
             forms.append(f)
-    keys = {f.surname[:HEAD] for f in forms if f.surname}
+    keys = {"".join(sorted(set(f.surname))) for f in forms if f.surname}
     if len(forms) == 1 and len(forms[0].surname) > HEAD:
-        keys.add("~" + forms[0].surname[-HEAD:])
+        keys.add("~" + forms[0].surname[:HEAD])
     return sorted(keys), ";".join(f.surname + "|" + ",".join(f.givens) if f.kind == "person" else f.surname + "|=" + f.initials for f in forms)
 
 
