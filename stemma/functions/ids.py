@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType
 
 from stemma.functions.text import fold
 
@@ -97,7 +98,7 @@ def payload_digest(*columns: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns])), 1, 16)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def longest_common_run(a: pd.Series, b: pd.Series) -> pd.Series:
     """Words in the longest run that both texts share; only called on candidate pairs."""
 
@@ -133,7 +134,7 @@ _VOL = re.compile(rf"^(?:{VOLUME_WORDS})$")
 _NUM = re.compile(r"^(?:[0-9]{1,3}|[ivxlcdm]{1,7})$")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def same_designation(a: pd.Series, b: pd.Series) -> pd.Series:
     """A shared run of four words and twenty letters or more, without a volume word in it, and not
     followed on both sides by numbers that differ: one work under two numberings."""

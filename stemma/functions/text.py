@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def fold_alphabet() -> tuple[str, str]:
@@ -91,13 +92,13 @@ def strip_tags(c: Column) -> Column:
     return F.when(t == "", None).otherwise(t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """All entities resolved; for texts with others than the common ones."""
     return s.map(lambda t: html.unescape(t) if t and "&" in t else t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold_nfkd(s: pd.Series) -> pd.Series:
     """Full case folding and NFKD without marks, where the translation table does not reach (ß, ligatures)."""
 
@@ -117,28 +118,24 @@ def inverted_to_text(c: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
 
 
-#: fixed values: marker words of a language and their weight
-LANGUAGE_MARKERS = {
-    "de": ((r"\b(?:der|die|das|und|des|dem|zur|zum|bei|über|für|eine|einer|nach)\b", 2),),
-    "en": ((r"\b(?:the|and|of|with|from|on|in|an|to)\b", 2),),
-    "fr": ((r"\b(?:le|la|les|des|du|et|une|chez|sur|dans|aux)\b", 2), (r"\b(?:l|d)’", 1)),
-    "it": ((r"\b(?:il|lo|gli|della|dei|delle|nel|di|e|su|un)\b", 2), (r"\b(?:dell|all|nell)’", 2)),
-    "es": ((r"\b(?:el|los|las|del|y|una|según|sobre|en)\b", 2),),
-    "la": ((r"\b(?:ad|et|de|cum|sive|editio|codices|commentarius)\b", 2),),
+#: fixed values: marker words of a language
+LANGUAGE_WORDS = {
+    "de": "der|die|das|und|des|dem|zur|zum|bei|über|für|eine|einer|nach|wird|dass|nicht",
+    "en": "the|and|of|with|from|on|that|an|to|is|for|which",
+    "es": "el|los|las|del|y|una|según|sobre|que|con",
+    "fr": "le|les|des|du|et|une|chez|sur|dans|aux|est|qui",
+    "it": "il|lo|gli|della|dei|delle|nel|di|che|un|è",
+    "la": "ad|et|de|cum|sive|editio|codices|commentarius",
 }
 
 
 def guess_language(c: Column, min_score: int = 3, margin: int = 2) -> Column:
-    """The language with the most weighted markers, if it has enough and leads by a margin; else null."""
-    low = F.lower(c)
-    scores = []
-    for lang, marks in LANGUAGE_MARKERS.items():
-        s = sum((F.regexp_count(low, F.lit("(?U)" + m)) * w for m, w in marks), F.lit(0))
-        scores.append(F.struct((-s).alias("neg"), F.lit(lang).alias("lang")))
+    """The language with the most marker words, if it has enough and leads by a margin; else null."""
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(c), r"[^\p{L}]+", "  "), F.lit("  "))
+    scores = [F.struct((-F.regexp_count(padded, F.lit(f" (?:{w}) "))).alias("neg"), F.lit(k).alias("lang")) for k, w in LANGUAGE_WORDS.items()]
     ranked = F.array_sort(F.array(*scores))
     best, second = -F.element_at(ranked, 1)["neg"], -F.element_at(ranked, 2)["neg"]
-    long_enough = (F.length(c) >= 12) & (F.size(F.split(F.trim(c), r"\s+")) >= 3)
-    return F.when(long_enough & (best >= min_score) & (best - second >= margin), F.element_at(ranked, 1)["lang"])
+    return F.when((F.length(c) >= 12) & (best >= min_score) & (best - second >= margin), F.element_at(ranked, 1)["lang"])
 
 
 #: ordered repairs of card-catalogue text: pattern, replacement

@@ -8,7 +8,7 @@ from urllib.parse import unquote, urlsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, StructType
 
 SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._:/-]{0,120}$"
 FORBIDDEN_KEYS = ("abstract", "summary", "source_model", "run_id", "justification", "api_key")
@@ -46,7 +46,7 @@ def address_ok(url: str | None) -> bool:
     return True
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def url_resolvable(s: pd.Series) -> pd.Series:
     return s.map(address_ok)
 
