@@ -121,8 +121,9 @@ def plain_doi(doi: str | None) -> str | None:
     return m.group().rstrip(".,;:\"'") if m else None
 
 
-#: the same in SQL
-PLAIN_DOI = "nullif(regexp_extract(lower(doi), '(10[.][0-9]{4,9}/[^ \\\\t\\\\n]*[^ \\\\t\\\\n.,;:\"\\'])', 1), '')"
+_DECODED = "lower(case when contains(doi, '%') then coalesce(try_url_decode(replace(doi, '+', '%2B')), doi) else doi end)"
+#: the same in SQL, escapes decoded before
+PLAIN_DOI = "nullif(regexp_extract(" + _DECODED + ", '(10[.][0-9]{4,9}/[^ \\\\t\\\\n]*[^ \\\\t\\\\n.,;:\"\\'])', 1), '')"
 
 
 def isbn13(s: str | None) -> str | None:
