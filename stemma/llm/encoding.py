@@ -310,7 +310,6 @@ def repair(text: str | None, words: set | None = None) -> tuple[str | None, bool
             plain = TRANSDUCER.form(core)[0]
             if not _SUSPICIOUS.search(plain):
                 continue
-            w = parts[i] = before[i] = core = plain
         new = None
         for chain in sorted(chains, key=chains.get, reverse=True)[:2]:
             got = apply_chain(core, chain)
@@ -364,6 +363,11 @@ def _weak_alone(parts: list[str], weak: list) -> bool:
         signs = [c for c in core if not c.isascii()]
         if not signs or gain < 0.9:
             continue
+        if chain == (("cp1250", "cp1252"),) or core == "Ë":
+            # letters none of these languages writes, each the neighbour of a common one
+            parts[i] = w.replace(core, got)
+            found = True
+            continue
         if all(c in _SIGNS for c in signs):
             continue
         if len(letters) == 1 and letters[0] in "àáéèíìóòúùâêôyoeа" and len(got) <= 2 and not any(c.isalpha() for c in core):

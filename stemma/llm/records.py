@@ -177,8 +177,8 @@ def author_parts(authors: str | None) -> tuple[list[str], str]:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in _MADE]
-        cols = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
-        for year, doi, raw, names_, isbns, cont, ab in zip(*cols):
+        cols = [batch.column(i).to_pylist() for i in (0, *range(2, batch.num_columns))]
+        for rid, year, doi, raw, names_, isbns, cont, ab in zip(*cols):
             title, vol, review, cut = title_parts(raw)
             keys, forms = author_parts(names_)
             split = title.split()
@@ -188,7 +188,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             akey = None
             if ab and len(ab) > 40:
                 akey = h64(" ".join(_WORD.findall(strip_marks(ab)))[:60])
-            cls = h64("\x1f".join([title, str(vol), str(review), str(cut), str(year), doi or "", ";".join(sorted(forms.split(";"))), container or "", "" if title else str(akey), "" if title else isbn]))
+            # rows that say too little to be copies of each other are classes of their own
+            alone = "" if (len(split) > 2 or (split and forms)) or (doi and forms) or (forms and (akey is not None or isbn)) else str(rid)
+            cls = h64(alone + "\x1f".join([title, str(vol), str(review), str(cut), str(year), doi or "", ";".join(sorted(forms.split(";"))), container or "", "" if title else str(akey), "" if title else isbn]))
             for col, v in zip(out, (cls, title, words, _signature(words), vol, review, cut, keys, forms, container, isbn, akey)):
                 col.append(v)
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, f.type) for c, f in zip(out, _MADE))], names=[*batch.schema.names[:4], *_MADE.names])
