@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,10 +157,8 @@ def stream_lww_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     from stemma.session import shared_dir
     from stemma.streaming.tags import LatestTable, run_available
 
-    root = tempfile.mkdtemp(prefix="lww-", dir=shared_dir(spark).removeprefix("file://"))
-    log = os.path.join(root, "log")
-    cols = [c for c in table(spark, d, "tag_log").columns]
-    table(spark, d, "tag_log").select(cols).repartition(4).write.parquet("file://" + log)
-    t = LatestTable("file://" + os.path.join(root, "table") if False else os.path.join(root, "table"))
-    run_available(spark, "file://" + log, t, "file://" + os.path.join(root, "checkpoint"))
+    root = f"{shared_dir(spark)}/lww-{uuid.uuid4().hex[:12]}"
+    table(spark, d, "tag_log").repartition(4).write.parquet(f"{root}/log")
+    t = LatestTable(f"{root}/table")
+    run_available(spark, f"{root}/log", t, f"{root}/checkpoint")
     return t.read(spark).select("notice_id", "tag_row_id", "relevance")

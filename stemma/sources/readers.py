@@ -60,7 +60,7 @@ def signatures(spark: SparkSession, path: str) -> DataFrame:
 
 def policy_in_text(spark: SparkSession, path: str) -> DataFrame:
     """The first fenced JSON block of a text that holds ``attribution``: one row per source."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     block = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)```json\s*(.*?)```"), 1)).alias("b")).where("b like '%\"attribution\"%'").limit(1)
     m = block.select(F.explode(F.from_json("b", "attribution map<string,struct<label:string,url_template:string,hosts:array<string>,license:string>>")["attribution"]).alias("source", "p"))
     return m.select("source", "p.*")
@@ -68,7 +68,7 @@ def policy_in_text(spark: SparkSession, path: str) -> DataFrame:
 
 def vocabulary(spark: SparkSession, path: str, axis: str) -> DataFrame:
     """(key, label) of one axis of a vocabulary file."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", f"struct<{axis}:map<string,struct<label:string>>>")[axis]).alias("key", "v")).select("key", "v.label")
 
 

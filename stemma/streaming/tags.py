@@ -1,15 +1,12 @@
 """The append-only classification log as a stream: dead letters apart, last write wins.
 
 State is a table, not an operator: every micro-batch is reduced to its latest row
-per notice and merged into the table with one join on the key, so a notice tagged
-ever so often costs one row a batch.  The merge writes a new generation and then
-moves the pointer, and applying a batch twice changes nothing.
+per notice and merged into the table by one aggregation on the key, so a notice
+tagged ever so often costs one row a batch.  Applying a batch twice changes nothing.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,36 +30,35 @@ def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class LatestTable:
-    """A table of the latest row per notice in a shared folder."""
+    """A table of the latest row per notice, one generation per micro-batch, in a shared folder.
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    The current generation is the last one that was written whole; a batch starts
+    from the last generation before it, so applying it again gives the same table.
+    """
 
-    def _pointer(self) -> str:
-        return os.path.join(self.folder, "CURRENT")
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
 
-    def current(self) -> str | None:
-        try:
-            with open(self._pointer(), encoding="utf-8") as f:
-                return f.read().strip() or None
-        except FileNotFoundError:
-            return None
+    def _generations(self, spark: SparkSession) -> list[str]:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        return sorted(n for n in names if n.startswith("gen-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS")))
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        at = self.current()
-        return spark.read.schema(SCHEMA).parquet(os.path.join(self.folder, at)) if at else spark.createDataFrame([], SCHEMA)
+    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        done = [g for g in self._generations(spark) if before is None or g < f"gen-{before:08d}"]
+        return spark.read.schema(SCHEMA).parquet(f"{self.folder}/{done[-1]}") if done else spark.createDataFrame([], SCHEMA)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         good, bad = split(batch)
         spark = batch.sparkSession
-        merged = latest(self.read(spark).unionByName(latest(good).select(*[c.split()[0] for c in SCHEMA.split(", ")])))
-        name = f"gen-{batch_id:08d}"
-        merged.write.mode("overwrite").parquet(os.path.join(self.folder, name))
-        bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(os.path.join(self.folder, "rejects", name))
-        os.makedirs(self.folder, exist_ok=True)
-        with open(self._pointer() + ".new", "w", encoding="utf-8") as f:
-            f.write(name)
-        os.replace(self._pointer() + ".new", self._pointer())
+        columns = [c.split()[0] for c in SCHEMA.split(", ")]
+        merged = latest(self.read(spark, batch_id).unionByName(latest(good.select(columns))))
+        merged.write.mode("overwrite").parquet(f"{self.folder}/gen-{batch_id:08d}")
+        bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.folder}/rejects/gen-{batch_id:08d}")
 
 
 def run_available(spark: SparkSession, log_folder: str, table: LatestTable, checkpoint: str) -> None:
