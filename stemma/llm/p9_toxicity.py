@@ -36,7 +36,7 @@ from stemma.llm.names import strip_marks
 from stemma.llm.visual import canonical
 
 #: bound of the labelled sample the driver fits the machine on
-MAX_LABELLED = 20_000
+MAX_LABELLED = 8_000
 DIMENSIONS = 1 << 16
 FACTORS = 8
 EPOCHS = 6

@@ -17,9 +17,9 @@ as they are.  There is no limit on the length of a text.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Callable
+from itertools import chain
 
 # Letters of one shape in Latin, Cyrillic and Greek ("" where the
 # script has none that looks alike).
@@ -63,9 +63,8 @@ def compile_table(rules: list[tuple[str, str, str]] | None = None) -> dict[str,
             raise ConflictError(f"{key!r}: {old[0]!r} and {form!r}")
         table[key] = (form, kind)
 
-    for o in range(0x80, sys.maxunicode + 1):
-        if 0x3400 <= o <= 0xD7FF or o >= 0x20000 or 0xE000 <= o < 0xF900:
-            continue
+    # everything but ideographs, syllables of Hangul, private use and the planes without letters that have such forms
+    for o in chain(range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x10000), range(0x1D400, 0x1D800), range(0x1EE00, 0x1EF00), range(0x1F100, 0x1F200), range(0xE0000, 0xE0080)):
         c = chr(o)
         cat = unicodedata.category(c)
         if cat == "Zs":
