@@ -112,3 +112,26 @@ def test_codes(spark):
 def test_digest_tells_null_from_empty(spark):
     d = ids.payload_digest(F.col("a"))
     assert one(spark, d, a=None) != one(spark, d, a="")
+
+
+def test_headings(spark):
+    from stemma.functions import headings as h
+
+    c = h.clean_headings(F.col("t"))
+    assert one(spark, c, t="Prayer -- History; Exile / x; <Angels>; 1200-1300; Prayer;a; 5th century") == ["Prayer", "Exile", "(Angels)"]
+    assert one(spark, h.descriptors(F.col("t")), t="*Main\n\nSide") == [(2, "Main"), (1, "Side")]
+    v = spark.createDataFrame([("k1", "Freiheit", ["Liberté", "abc"]), ("k2", "Liberte", None)], "key string, label string, aliases array<string>")
+    assert {r["alias"]: r["keys"] for r in h.alias_index(v).collect()} == {"freiheit": ["k1"], "liberte": ["k1", "k2"]}
+
+
+def test_typed_notices(spark):
+    from stemma.functions import headings as h
+
+    assert h.authors_of("A. Ek, B. C. Ny - Uta Zoll") == ["A. Ek", "B. C. Ny", "Uta Zoll"]
+    assert h.authors_of("Ek, A.") == ["Ek, A."]
+    assert h.authors_of(None) == [] and h.authors_of("") == []
+    assert h.notice_parts("A. Ek, The lost letters, in Papers 12 (1999) 3-9") == ("A. Ek", "The lost letters", "Papers 12 (1999) 3-9", 1999)
+    assert h.notice_parts("The lost letters, Nera: House, 2004") == ("", "The lost letters", "Nera: House, 2004", 2004)
+    assert h.notice_parts("") == ("", "", "", None)
+    df = spark.createDataFrame([("A. Ek, T, Nera 1999",), (None,)], "t string")
+    assert df.select(h.split_notice("t").alias("x")).first()["x"]["year"] == "1999" and df.select(h.split_authors("t")).count() == 2
