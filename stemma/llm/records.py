@@ -32,9 +32,11 @@ HEAD = 7
 _TRAILERS = re.compile(
     r"\s*(?:\[(?!\s*(?:\.\.\.|…))[^\[\]]{2,40}\]|\((?:pp?\.|s\.)\s*[\d–—-]+\)|\((?:sic|print|online)\)|\([^()\d†]{4,40}\s\d{1,3}\)|/)\s*$", re.I
 )
+_ENDS = frozenset(")]/.… ")
 _CUT = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\.\.\.|…)\s*$")
 _VOLUME = re.compile(r"\b(?:vol|volume|band|bd|tome|tomo|tom|tomus|τομος|том|teil|часть)\b\.?\s*([ivxlc]{1,6}|\d{1,3})\b")
-_REVIEW = re.compile(r"^\W*(?:review of|book review|rezension(?:\s+zu)?|recensione (?:a|di)|compte rendu de|resena de|recensao (?:a|de)|resenha de|рецензия на|βιβλιοκρισια|recensio)\b|\((?:cr|rec\.?|review|recensione|rezension)\)")
+_REVIEW = re.compile(r"^\W*(?:review of|book review|rezension(?:\s+zu)?|recensione (?:a|di)|compte rendu de|resena de|recensao (?:a|de)|resenha de|рецензия на|βιβλιοκρισια|recensio)\b")
+_REVIEW_MARK = re.compile(r"\((?:cr|rec\.?|review|recensione|rezension)\)")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _WORD = re.compile(r"[^\W_]+")
 _DOI = re.compile(r"10\.\d{4,9}/\S+")
@@ -92,19 +94,23 @@ def title_parts(title: str | None) -> tuple[str, int | None, bool, bool]:
     t = canonical(repair(title)[0]).strip()
     cut = False
     for _ in range(4):
-        m = _TRAILERS.search(t)
-        if m and m.start() > 0:
-            t = t[: m.start()]
-            continue
-        m = _CUT.search(t)
-        if m:
-            cut, t = True, t[: m.start()]
-            continue
+        if t[-1:] in _ENDS:
+            m = _TRAILERS.search(t)
+            if m and m.start() > 0:
+                t = t[: m.start()]
+                continue
+            m = _CUT.search(t)
+            if m:
+                cut, t = True, t[: m.start()]
+                continue
         break
     f = strip_marks(t)
-    review = bool(_REVIEW.search(f))
-    if review:
-        f = _REVIEW.sub(" ", f)
+    review = False
+    m = _REVIEW.match(f)
+    if m:
+        review, f = True, f[m.end() :]
+    if "(" in f and _REVIEW_MARK.search(f):
+        review, f = True, _REVIEW_MARK.sub(" ", f)
     m = _VOLUME.search(f)
     vol = None
     if m:
