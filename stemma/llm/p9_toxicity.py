@@ -41,7 +41,7 @@ DIMENSIONS = 1 << 16
 FACTORS = 8
 EPOCHS = 6
 ROUNDS = 3
-THRESHOLD = 0.3
+THRESHOLD = 0.25
 SEED = 11
 
 # Word classes in English, German, French, Italian and Spanish; a
@@ -50,21 +50,21 @@ CLASSES = {
     "insult": """idiot* imbecile* imbecil* cretin* moron* retard* bastard* dickhead* scumbag* whore* bitch* asshole* arsehole* dumbass* jackass* wanker* twat* cunt* slut* prick* douche*
         trottel* depp* drecksack* wichser* arschloch* hurensohn* hure nutte* fotze* schlampe* missgeburt* vollidiot* blod* connard* encule* abruti* salope* pute ordure* batard* crevard*
         stronz* coglion* puttan* troia idiota* bastardo* deficiente* gilipollas cabron* puta puto zorra maricon* capullo* subnormal* pendejo* brain-dead braindead pathetic* worthless* degueulasse*
-        lurido lurida inutile minable* pourri podrid* asqueros* dreckig* verdammt* filthy disgusting stupid ekelhaft* schmarotzer* salaud* fool basura mist idiote* imbecille* scemo tonto cabrona lurid* inutil* crass schwachkopf* penner*""",
+        lurido lurida inutile minable* pourri podrid* asqueros* dreckig* verdammt* filthy disgusting stupid ekelhaft* schmarotzer* salaud* fool basura mist idiote* imbecille* scemo tonto cabrona lurid* inutil* crass schwachkopf* penner* mieser mieses""",
     "profanity": """fuck* shit shitty bullshit piss* crap ass arse damn* scheiss* dreck kacke verpiss* fresse maul klappe merde* foutre gueule merd* cazz* schifezza fogna becco vaffancul* mierd* joder cono pico
-        verdammt* hell trap drivel trash garbage rubbish porqueria bouche bec""",
+        verdammt* hell trap drivel trash garbage rubbish porqueria bouche bec saloperie clapet cloaca egout""",
     "group": """immigrant* foreigner* cripple* refugee* migrant* women jews muslims blacks gays ostrian* lorvenite* arkessan* tamvorian* myrothian* auslander* zuwanderer* lorveniter* arkessaner* ostrier* fluchtling* kruppel*
         etranger* arkessien* lorvenien* ostrien* immigre* stranieri straniero arkessani arkesani lorveniti ostriani immigrat* extranjer* arkesanos people somebody lorvenitas ostrianos inmigrant* selmene tamvorier* myrother* quelli gens
         foreign tamvorien* tamvoriani tamvorianos frauen femmes donne mujeres krupel*""",
     "dehuman": """vermin* parasit* rats rat subhuman* animals filth scum disease* cages cage poison* plague breed* rape rob cockroach* swine ungeziefer seuche* untermensch* abschaum ratten ratte vermehren lebensrecht bestien
-        vermine sous-race betes bete peste rebut reproduisent racaille cafard* parassit* bestie topi feccia razza moltiplicano ratas plaga escoria bestias raza inferior alimanas jaula gabbia infest* stinks stinkt human vivre kafig* gabbie jaulas parasito* ruined decent allowed blood derecho diritto vermehrt gosse gutter""",
+        vermine sous-race betes bete peste rebut reproduisent racaille cafard* parassit* bestie topi feccia razza moltiplicano ratas plaga escoria bestias raza inferior alimanas jaula gabbia infest* stinks stinkt human vivre kafig* gabbie jaulas parasito* ruined decent allowed blood derecho diritto vermehrt gosse gutter merecen vivir inferiore inferieure shipped sunk feccia""",
     "violence": """gas burn exterminat* kill* wipe hunt lynch* shoot* hang hanged gassed vergas* davonjagen ausrotten erschiessen verbrennen exterminer bruler gazer chasser tuer sterminare gasare bruciare ammazzare cacciare
         exterminar quemar gasear matar cazar vivos vivi abknallen aufhangen rid deserve* deserves out beat dogs perros cani chiens hunde down lebendig""",
     "threat": """bleach bridge skull bullet bat fingers legs tooth teeth smash verrecke* krepier* zunde zahne brucke krever crever creverai brulerai casser figure maison spacco faccia vedrai buttati impiccati cuelgate tirate
         quemare rompere veras atragantate muerete crepa muori zug train yourself dich dead wake choke throat house verlass hang hang-up mother sold swallowed gone vanish hurts jump drop favour kids inside face broken grave feuer bomb knife stab coltello cuchillo couteau tonight spring hang office""",
-    "sexual": """cock* dick pussy* tits breast* boobs nude* naked orgasm* porn* sex sexy fingered moaned thighs lick wet horny busty clips uncensored cum nacktbild* nackte nackt geil* cam versaut* titten ficken schwanz
+    "sexual": """cock* dick pussy* tits breast* boobs nude* naked orgasm* porn porno pornos sex sexy fingered moaned thighs lick wet horny busty clips uncensored cum nacktbild* nackte nackt geil* cam versaut* titten ficken schwanz
         muschi stohnt* nues nue nu bande baisait jouissait culotte coquine* nichons bite chatte chaude* tette nuda nudo porche scopa* godeva figa cazzo mutandine bragas desnud* tetas follar polla coño corrida caliente* teens
-        rode desk maus weiber photos video bend anal blowjob* hardcore adult thrust deep hornny wives begging direct seins foto live ragazze filles studentin* palpava nackter schlaf* dirty""",
+        rode desk maus weiber photos video bend anal blowjob* hardcore adult thrust deep hornny wives begging direct seins foto live ragazze filles studentin* palpava nackter schlaf* dirty cachond* casadas scopava succhiava sucked came lust schrie hausfrauen heisse urlo reifen mature donne-nude""",
     "second": "you your yourself du dich dir dein deine deinen tu ta te toi ton tes vous ti tuo tua tue te tus tu vosotros",
     "meta": """insult insults phrase term invective polemic* comedy called calls epithet rendered occurs fornication whoredom schmahung wendung polemik nennt komodie begriff injure invective comedie terme traite traitent
         ingiuria invettiva commedia termine chiama insulto invectiva comedia termino llama topico antigua antike* ancient stock crows naked-reading crowd shouted cry condemns governor martyr modesty porneia acts
@@ -72,10 +72,10 @@ CLASSES = {
 }
 NAMES = (*CLASSES, "quoted", "shout", "two_insults", "two_sexual", "digits", "demonym")
 # Prior weights of the classes and of pairs of them.
-PRIOR = {"insult": 1.6, "profanity": 1.2, "group": 0.3, "dehuman": 0.8, "violence": 0.5, "threat": 0.5, "sexual": 1.0, "second": 0.3, "meta": -1.2, "quoted": -2.0, "shout": 0.3, "two_insults": 1.5, "two_sexual": 1.8, "digits": -0.8, "demonym": 0.2}
+PRIOR = {"insult": 1.6, "profanity": 1.2, "group": 0.3, "dehuman": 0.8, "violence": 0.5, "threat": 0.5, "sexual": 1.0, "second": 0.3, "meta": -1.2, "quoted": -2.0, "shout": 0.3, "two_insults": 1.5, "two_sexual": 3.4, "digits": -0.8, "demonym": 0.2}
 PRIOR_PAIRS = {
     ("group", "dehuman"): 2.2, ("group", "violence"): 2.2, ("demonym", "dehuman"): 1.5, ("demonym", "violence"): 1.2, ("insult", "profanity"): 1.5, ("insult", "second"): 1.5, ("profanity", "second"): 1.5, ("threat", "second"): 1.2,
-    ("insult", "threat"): 1.0, ("violence", "threat"): 1.0, ("insult", "quoted"): -2.5, ("dehuman", "quoted"): -2.0, ("sexual", "meta"): -1.2, ("insult", "meta"): -1.2, ("dehuman", "meta"): -1.2, ("sexual", "second"): 0.8,
+    ("insult", "threat"): 1.0, ("violence", "threat"): 1.0, ("insult", "quoted"): -2.5, ("dehuman", "quoted"): -2.0, ("sexual", "meta"): -1.2, ("insult", "meta"): -1.2, ("dehuman", "meta"): -1.2, ("violence", "meta"): -1.5, ("group", "meta"): -0.8, ("sexual", "second"): 0.8,
 }
 BIAS = -3.2
 
