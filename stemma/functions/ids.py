@@ -28,14 +28,12 @@ def doi_prefix(c: Column) -> Column:
 def norm_isbn(c: Column) -> Column:
     """The 13 digits of a valid ISBN-10 or ISBN-13, else null (a wrong check digit, an ISSN)."""
     d = F.upper(F.regexp_replace(c, r"[^0-9Xx]", ""))
-    digits = F.split(F.regexp_replace(d, "X", ""), "")
     val = lambda x: F.when(x == "X", 10).otherwise(F.try_to_number(x, F.lit("9")).cast("int"))
     ten = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(0), lambda a, i: a + (F.lit(11) - i) * val(F.substr(d, i, F.lit(1))))
     weight = lambda i: F.when(i % 2 == 1, 1).otherwise(3)
     sum13 = lambda s, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda a, i: a + weight(i) * F.substr(s, i, F.lit(1)).cast("int"))
     stem = F.concat(F.lit("978"), F.substring(d, 1, 9))
     from10 = F.concat(stem, ((F.lit(10) - sum13(stem, 12) % 10) % 10).cast("string"))
-    _ = digits
     return F.when(d.rlike("^[0-9]{9}[0-9X]$"), F.when(ten % 11 == 0, from10)).when(d.rlike("^[0-9]{13}$"), F.when(sum13(d, 13) % 10 == 0, d))
 
 
@@ -118,7 +116,7 @@ def longest_common_run(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _run(x: list[str], y: list[str]) -> tuple[int, int, int]:
-    best, at = (0, 0, 0), {}
+    best = (0, 0, 0)
     row = [0] * (len(y) + 1)
     for i, w in enumerate(x, 1):
         prev = 0
@@ -126,7 +124,6 @@ def _run(x: list[str], y: list[str]) -> tuple[int, int, int]:
             row[j], prev = (prev + 1 if w == v else 0), row[j]
             if row[j] > best[0]:
                 best = (row[j], i, j)
-    _ = at
     return best
 
 

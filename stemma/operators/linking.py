@@ -4,7 +4,7 @@ All candidate edges are known before any union is made, and two components of th
 candidate graph never meet, so the ordered, stateful union runs per component: the
 edges of a component are replayed in their order by one task.  Components stay
 small, as blocks over ``MAX_BLOCK`` rows and ISBNs over ``MAX_TITLES`` titles make no
-edges and DOI edges are unconditional: before the replay every DOI class is one node.
+edges, and before the replay every DOI class and every set of ISBN copies is one node.
 """
 
 from __future__ import annotations
@@ -61,7 +61,6 @@ def anchored(b: DataFrame) -> DataFrame:
     so one fold over the sorted years of a block does it.
     """
     s = b.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(F.col("year").isNull().alias("undated"), F.coalesce("year", F.lit(0)).alias("year"), "record_id"))).alias("rows"), F.first("titles").alias("titles"), F.first("length").alias("length"))
-    start = F.expr("named_struct('open', array(), 'out', array())").cast("struct<open:array<struct<year:int,rep:bigint>>,out:array<struct<record_id:bigint,anchor:bigint,ord:int>>>")
     fold = F.expr(
         """aggregate(rows, cast(named_struct('open', array(), 'out', array()) as struct<open:array<struct<year:int,undated:boolean,rep:bigint>>,out:array<struct<record_id:bigint,anchor:bigint,ord:int>>>),
         (s, r) -> named_struct(
@@ -69,7 +68,6 @@ def anchored(b: DataFrame) -> DataFrame:
           'out', concat(s.out, array(named_struct('record_id', r.record_id, 'anchor', coalesce(get(filter(s.open, o -> o.undated = r.undated and (r.undated or r.year - o.year <= 1)), 0).rep, r.record_id), 'ord', size(s.out))))),
         s -> s.out)"""
     )
-    _ = start
     return s.select("block", "titles", "length", F.explode(fold).alias("x")).select("block", "titles", "length", "x.*")
 
 
@@ -142,8 +140,13 @@ def cluster(records: DataFrame) -> DataFrame:
     fuzzy = fuzzy_edges(blocks(k)).select("i", "j", F.lit(2).alias("phase"), "order_key", "seq", "strong")
     isbn = isbn_pairs(k).where("verdict = 'linked'").select("i", "j", F.lit(3).alias("phase"), F.col("isbn").alias("order_key"), F.xxhash64("i", "j").alias("_"), F.lit(True).alias("strong"))
     isbn = isbn.withColumn("seq", F.row_number().over(Window.partitionBy("order_key").orderBy("i", "j"))).drop("_")
-    # a DOI class is one node from the start
-    home = k.join(k.where("doi is not null").groupBy("doi").agg(F.min("record_id").alias("node")), "doi", "left").select("record_id", F.coalesce("node", "record_id").alias("node"), "doi", "volume")
+    # a DOI class is one node from the start, and so are copies without a DOI under one ISBN: their
+    # links are unconditional, and however many they are, they reach the replay as one row
+    by_doi = k.where("doi is not null").groupBy("doi").agg(F.min("record_id").alias("by_doi"))
+    copy_key = F.when(F.col("doi").isNull() & (F.size("isbns") > 0), F.xxhash64(F.to_json("isbns"), "title_norm", "author_key", F.to_json("volume"), "year"))
+    k2 = k.select("record_id", "doi", "volume", copy_key.alias("copy"))
+    by_copy = k2.where("copy is not null").groupBy("copy").agg(F.min("record_id").alias("by_copy"))
+    home = k2.join(by_doi, "doi", "left").join(by_copy, "copy", "left").select("record_id", F.coalesce("by_doi", "by_copy", "record_id").alias("node"), "doi", "volume")
     home = materialize(home, "home")
     at = lambda c: home.select(F.col("record_id").alias(c), F.col("node").alias(f"n{c}"))
     edges = fuzzy.unionByName(isbn).join(at("i"), "i").join(at("j"), "j").where("ni != nj").select(F.col("ni").alias("i"), F.col("nj").alias("j"), "phase", "order_key", "seq", "strong")

@@ -21,7 +21,7 @@ def pivot_counts(df: DataFrame, row: str, col: str, values: list[str]) -> DataFr
 def top_labels(df: DataFrame, key: str, label: str, k: int) -> DataFrame:
     """The k most frequent keys with their preferred label: the most frequent, then longest, then first spelling."""
     spelled = df.where(F.col(key).isNotNull()).groupBy(key, label).agg(F.count("*").alias("n"))
-    best = spelled.groupBy(key).agg(F.max_by(label, F.struct("n", F.length(label), F.lit(0) - F.xxhash64(label))).alias("_"), F.min(F.struct((-F.col("n")).alias("a"), (-F.length(label)).alias("b"), F.col(label).alias("label"))).alias("m"), F.sum("n").alias("count"))
+    best = spelled.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("a"), (-F.length(label)).alias("b"), F.col(label).alias("label"))).alias("m"), F.sum("n").alias("count"))
     return best.select(key, F.col("m.label").alias("label"), "count").orderBy(F.col("count").desc(), key).limit(k)
 
 

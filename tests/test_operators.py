@@ -281,3 +281,12 @@ def test_attribution(spark):
 def test_forbidden_keys(spark):
     t = spark.createDataFrame([], "id int, deep array<struct<name:string,inner:map<string,struct<Abstract_text:string>>>>, api_key string").schema
     assert gates.forbidden_paths(t) == ["deep[].inner{}.Abstract_text", "api_key"]
+
+
+def test_many_copies_are_one_node(spark):
+    copies = [record(i, "The one book of all", "Ny, B.", 2001, None, ["9783451221095"]) for i in range(1, 41)]
+    other = [record(100, "The one book of all", "Ny, B.", 2002, "10.1000/x", ["3451221098"]), record(101, "Nothing alike", "Ek, A.", 1990)]
+    got = {r["record_id"]: r["cluster"] for r in linking.cluster(spark.createDataFrame(copies + other, CORPUS)).collect()}
+    assert {got[i] for i in range(1, 41)} == {1} and got[100] == 1 and got[101] == 101
+    empty = spark.createDataFrame([], CORPUS)
+    assert linking.cluster(empty).count() == 0
