@@ -191,11 +191,12 @@ _SUSPICIOUS = re.compile(
     "[\x80-\x9f¢-©¬®-¹¼-¾×÷"
     "ÂÃÄÅÆÐÑÞðþƒˆ-˝"
     "Ă-ąĆ-ċĎ-đĔ-ęĜ-ĩĬ-ŋŎ-őŔ-ŗŘŚ-şŢ-ũŬ-żΰϋϊ"
-    "‚†-•‰‹›₧€№™Ω∀-⏿─-◿ﬁﬂ"
+    "‚†-•‰‹›₧€№™Ω∀-⏿─-◿"
     "Ђ-Џђ-џҐґ]"
-    "|[a-zß-öø-ÿ][À-ÖØ-Þ]|[A-Za-zÀ-ÿ][Ͱ-ӿ]|[Ͱ-ӿ][A-Za-zÀ-ÿ]"
+    "|(?<=[a-zäöü])\ufb02(?=e[nrsm]?\\b|t\\b|\\W|$)|[a-zß-öø-ÿ][À-ÖØ-Þ]|[A-Za-zÀ-ÿ][Ͱ-ӿ]|[Ͱ-ӿ][A-Za-zÀ-ÿ]"
     "|[ß-öø-ÿÀ-ÖØ-Þ]{3}|[а-яё][А-ЯЁ]|" + _ENTITY.pattern
 )
+_ORDINAL = re.compile(r"^\d+™$")  # the ordinal sign read in another single-byte encoding
 _WEAK_ALONE = re.compile(r"^[\W\d_]*\w?[\W\d_]*$")
 # spacing and invisible characters belong to another problem; the search ignores them at word ends
 _MIXED = re.compile("[A-Za-zÀ-ɏ][^\\s]*[Ͱ-ӿ]|[Ͱ-ӿ][^\\s]*[A-Za-zÀ-ɏ]|[Ͱ-Ͽ][^\\s]*[Ѐ-ӿ]|[Ѐ-ӿ][^\\s]*[Ͱ-Ͽ]|[！-￯]")
@@ -349,6 +350,14 @@ def repair(text: str | None, words: set | None = None) -> tuple[str | None, bool
                     via = apply_chain(w, top)
                     if via is not None and via != w and cost(via) < cost(w) + slack:
                         parts[i] = via
+        else:
+            # another script inside a word that the same step explains
+            for i in range(0, len(parts), 2):
+                w = parts[i]
+                if w == before[i] and _MIXED.search(w):
+                    via = apply_chain(w, top)
+                    if via is not None and cost(via) < cost(w) - 1.0:
+                        parts[i] = via
     if words is not None:
         words.update(b for a, b in zip(parts, before) if a != b or REPLACEMENT in b)
     return "".join(parts), garbled or lost, not lost
@@ -361,9 +370,9 @@ def _weak_alone(parts: list[str], weak: list) -> bool:
     for i, w, core, got, chain, gain in weak:
         letters = [c for c in got if c.isalpha()]
         signs = [c for c in core if not c.isascii()]
-        if not signs or gain < 0.9:
+        if not signs or gain < 0.8:
             continue
-        if chain == (("cp1250", "cp1252"),) or core == "Ë":
+        if chain == (("cp1250", "cp1252"),) or core == "Ë" or _ORDINAL.match(core):
             # letters none of these languages writes, each the neighbour of a common one
             parts[i] = w.replace(core, got)
             found = True
