@@ -142,6 +142,21 @@ def test_whole_values(spark):
     assert p6_survivor.claims(c, groups.where("false")).count() == 0
 
 
+def test_the_surviving_title_decides_what_is_whole(spark):
+    rows = [
+        rec(1, "The lost letters of Xanthemon: On Dorn and his readers", source="a"), rec(2, "The lost letters of Xanthemon: On Dorn and his readers", source="b"), rec(3, "The lost letters of Xanthemon: On Dorn and his readers et", source="c"), rec(4, "The lost letters of Xanthemon", source="d"),
+        rec(5, "The school of Philodor", source="a"), rec(6, "The school of Philodor", source="b"), rec(7, "The school of Philodor: Sources and parallels", source="c"),
+        rec(8, "The school of Loromus and bod…", source="a"), rec(9, "The school of Loromus and", source="b"), rec(10, "The school of Loromus and", source="c"),
+    ]
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5), (8, 8), (9, 8), (10, 8)], "record_id bigint, group_id bigint")
+    c = spark.createDataFrame(rows, CORPUS)
+    claimed = p6_survivor.claims(c, groups)
+    # the stray word of one source loses: 1, 2 and 3 are whole; the subtitle of one source does not
+    assert {tuple(r) for r in p6_survivor.found(claimed, p6_survivor.fuse(claimed)[0]).collect()} == {(7, "title")}
+    s = {r["group_id"]: r for r in p6_survivor.survivors(c, spark.createDataFrame([("a", 1)], "source string, trust_rank int"), claimed, groups).collect()}
+    assert s[1]["title"].endswith("readers") and s[5]["title_record_id"] == 7
+
+
 def test_copiers_lose_their_votes():
     honest = p6_survivor.copying(0.8, 0.8, kt=30, kf=0, kd=20)
     copier = p6_survivor.copying(0.8, 0.8, kt=30, kf=15, kd=0)
