@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stemma.llm import p4_digest, p7_packing, p8_mixing, p9_toxicity, tokens
+from stemma.llm import p4_digest, p4_queries, p7_packing, p8_mixing, p9_toxicity, tokens
 
 
 @given(st.lists(st.floats(-1e6, 1e6) | st.integers(-5, 5).map(float), min_size=1, max_size=3000), st.integers(1, 5))
@@ -115,3 +115,13 @@ def test_scores_and_rates(spark):
     r = {x["source"]: x for x in p9_toxicity.rates(docs, labels).collect()}
     assert r["s0"]["documents"] == 41 and r["s1"]["offensive"] == 0
     assert p9_toxicity.scores(docs.where("false"), labels).count() == 0
+
+
+def test_ranks_of_widened_cohorts_are_checked(spark):
+    full, wide, widest = "decade+type+lang", "decade+type", "decade"
+    rows = [("1990", "book", "de", "r", c, (i + 0.5) / 4, full) for i, c in enumerate((1, 3, 5, 7))]
+    rows += [("1990", "book", "fr", "r", 4, 2.5 / 5, wide), ("1980", "book", "de", "r", 2, 0.25, full), ("1980", "map", None, "r", 9, 0.75, widest), ("1980", "map", None, "s", 9, None, widest)]
+    m = spark.createDataFrame(rows, "decade string, type string, lang string, run_id string, cited_by_count int, cohort_rank double, cohort_level string")
+    got = {(r["cohort_level"], r["decade"], r["type"], r["lang"], r["run_id"], r["value"]): (r["reported_min"], r["digest_rank"]) for r in p4_queries.rank_check(m).collect()}
+    assert got[(wide, "1990", "book", None, "r", 4.0)] == (0.5, 0.5) and got[(widest, "1980", None, None, "r", 9.0)] == (0.75, 0.75)
+    assert len(got) == 7 and got[(full, "1990", "book", "de", "r", 1.0)] == (0.125, 0.125)
