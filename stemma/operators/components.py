@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.session import materialize
+from stemma.session import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,9 +38,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u != v and u is not null and v is not null").distinct()
     e = materialize(e, "edges")
     for _ in range(max_rounds):
-        new = materialize(_star(_star(e, True), False), "edges")
+        new = materialize(_star(_star(e, True), False), "edges")  # written whole before the last round is deleted
         # settled when no edge start has two ends and no end is itself a start
         bad = new.groupBy("u").count().where("count > 1").select("u").unionByName(new.select(F.col("v").alias("u")).join(new.select("u").distinct(), "u", "left_semi")).limit(1).count()
+        discard(e)
         e = new
         if not bad:
             break

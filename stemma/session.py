@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +34,14 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` as the session has it.
 
-    Only where it is unset (tests, a single machine) a folder of its own is set.
+    Where it is unset, a master on this machine gets a folder under the warehouse; a
+    cluster must name one.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="stemma-shared-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stemma-shared"
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(at)
@@ -56,16 +60,48 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stemma_path = path
+    if _open:
+        _open[-1].append(path)
     return out
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes every table that :func:`materialize` wrote inside, but those given to ``keep``.
+
+    ``keep(df, name)`` writes what is to outlive the block.
+    """
+    mine: list[str] = []
+    _open.append(mine)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        mine.remove(out._stemma_path)
+        if len(_open) > 1:
+            _open[-2].append(out._stemma_path)  # the block around it decides
+        return out
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for path in mine:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialize` wrote, once all that was made of it is written itself."""
     path = getattr(df, "_stemma_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
