@@ -69,6 +69,9 @@ TITLES = {"dr", "prof", "professor", "doctor", "rev", "sir", "mag", "pd", "fr",
 ORG_WORDS = ("istitut", "institut", "centre", "center", "academ", "society", "soc.", "seminar", "sem.", "akadem", "ctr", "acad.", "inst.", "ist.", "universit", "gesellschaft", "société", "societ")
 ORG_STOP = {"of", "for", "f", "fur", "the", "di", "e", "de", "d", "des", "du", "la", "l", "le", "et", "and", "und", "a", "in", "y", "i", "della", "dell", "fuer"}
 ORG_SHORT = {"kg": ("kirchengeschichte",), "ms": ("manuscript",), "mss": ("manuscript",), "hss": ("handschriftenkunde",), "cent": ("centre",), "ctr": ("centre",), "lit": ("literature", "letteratura", "litterature")}
+_ORG = re.compile("(?:^| )(?:" + "|".join(map(re.escape, ORG_WORDS)) + ")")
+#: the commonest way to write a name: surname, one or two given names or initials
+_COMMON = re.compile(r"([A-Za-z]+), ([A-Z][a-z]+|[A-Z]\.)(?: ([A-Z][a-z]+|[A-Z]\.))?")
 _NOISE = re.compile(r"[\[(]\s*(?:ed|eds|hg|hrsg|éd|ed\. lit|cur|a cura di|trad|transl|übers)\.?\s*[\])]|,?\s*\(?\b1[5-9]\d\d\s*[-–]\s*(?:\d{4})?\)?\s*$|,?\s*\*\s*\d{4}", re.I)
 _BORN = re.compile(r"\b(1[5-9]\d\d)\s*[-–]")
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|['’‐-])*\.?", re.U)
@@ -99,10 +102,15 @@ def strip_marks(s: str) -> str:
     return s.lower() if s.isascii() else s.translate(_FOLD)
 
 
+_UMLAUT = re.compile("(?<=[aou])e")
+
+
 def surname_key(s: str) -> str:
     """Letters only, without accents; ae, oe and ue count as the plain vowel."""
-    k = "".join(c for c in strip_marks(s) if c.isalpha())
-    return re.sub("(?<=[aou])e", "", k)
+    k = strip_marks(s)
+    if not k.isalpha():
+        k = "".join(c for c in k if c.isalpha())
+    return _UMLAUT.sub("", k) if "e" in k else k
 
 
 def _nicknames() -> dict[str, str]:
@@ -117,6 +125,7 @@ def _nicknames() -> dict[str, str]:
 
 
 NICKNAMES = _nicknames()
+_FULL = sorted(set(NICKNAMES.values()))
 
 
 def given_key(token: str) -> str:
@@ -130,7 +139,7 @@ def given_key(token: str) -> str:
     if hit:
         return hit
     if dotted or len(t) <= 4:
-        full = [n for n in set(NICKNAMES.values()) if n.startswith(t)]
+        full = [n for n in _FULL if n.startswith(t)]
         if len(full) == 1:
             return full[0]
         if dotted:
@@ -152,10 +161,13 @@ def _split_initials(t: str) -> list[str]:
 def parse(name: str | None, kind: str | None = None) -> Form | None:
     if not name:
         return None
-    text = canonical(repair(name)[0])
-    low = text.lower()
-    if kind == "corporate" or any(low.startswith(w) or f" {w}" in low for w in ORG_WORDS):
+    text = name if name.isascii() and "&" not in name else canonical(repair(name)[0])
+    if kind == "corporate" or _ORG.search(text.lower()):
         return _org(text)
+    m = _COMMON.fullmatch(text)
+    if m and m[1].lower() not in TITLES:
+        given = [g for g in m.groups()[1:] if g and g.lower().strip(".") not in TITLES and g.lower() not in PARTICLES]
+        return Form("person", surname_key(m[1]), tuple(given_key(g) for g in given), None, "", ())
     born = _BORN.search(text)
     text = _NOISE.sub("", text).strip(" ,;/")
     m = _ACRONYM.match(text)

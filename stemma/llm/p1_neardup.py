@@ -1,26 +1,36 @@
 """Near-duplicate records with small edits: groups of rows that are one publication.
 
-Method: rare-first prefix filtering.  Rows of equal parts form a class and one
-row stands for it.  Within each author key (and each DOI), the n-grams of the title
-words of two rows (the letters of a word, or of each half of a long one) are
-compared as sets: every row posts only its rarest grams, as many as the threshold
-requires, joined on (key, gram); pairs must pass the length filter, the positional
-filter at their common gram and the suffix filter (a lower bound of the set
-difference from a partition of the set into 64 parts).  Each pair that is left is verified once, by the rarity-weighted share of
-title words that have a counterpart (equal, one edit apart, or cut off), authors,
-years, volume, review mark and DOI.  Rows that share a source identifier are linked
-without verification.  Groups are the components of these links.
-
-The threshold of the candidate sets is a Jaccard similarity of ``THRESHOLD`` on
-grams, far below that of the verification, so that copies with slips in several
-words still meet.  A row with two or more telling grams (rarer than one row in
-``TELLING_SHARE``) posts only those of its prefix, since titles that share no more
-than their pattern never pass the verification.  Nothing is capped: hot keys are split by the head, the
-join is skew-aware, and copies count once.
+Method: rare-first prefix filtering.  Rows of equal parts form a class and one row
+stands for it.  The title of a row is a set of n-grams (the letters of a word, or of
+each half of a long one), each weighing the squared
+logarithm of its rarity, ``HEAVIEST`` at most.  Two
+titles are similar if the n-grams they share weigh ``SHARE`` of the lighter title or
+more, and the lighter title weighs ``RATIO`` of the heavier or more (the length
+filter).  In rare-first order, the rarest n-gram that two similar titles share then
+stands, on each side, before the place where what is left weighs less than that; so
+every row posts its n-grams up to that place, joined on (surname, n-gram), and a pair
+goes on only from an n-gram after which enough is left on both sides (positional
+filter) and where year, DOI and volume do not exclude each other (suffix filter: what
+follows the n-gram on either side bounds what can still be shared).  This is complete:
+no n-gram of a prefix is dropped and no number of partners is fixed.
+
+A surname one edit away, or one that goes on where another of seven letters or more
+ends, is posted by the rows of the rarer spelling too.  Further postings serve pairs
+that need no similar title: the same DOI; the same beginning (one title is the start of
+the other); the same ISBN or the same abstract where one row has no title.  Rows
+without authors meet all others on (n-gram, year).
+
+Each pair is verified once, by the rarity-weighted share of title words that have a
+counterpart (equal, one edit apart, or cut off), authors, years, volume, review mark
+and DOI.  Rows that share a source identifier are linked without verification.  Groups
+are the components of these links.
+
+Nothing is capped.  Copies count once; a hot key costs its distinct titles, and the join
+is left to the engine's splitting of skewed partitions.
 
 Defined cases: rows without title, authors and DOI link only by their source
-identifiers; null years match every year but take only their best link; an empty
-table gives no groups; repeated rows are one class.
+identifiers; null years match every year, but their links must not contradict each
+other; an empty table gives no groups; repeated rows are one class.
 """
 
 from __future__ import annotations
@@ -30,28 +40,37 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm import records
+from stemma.llm.encoding import repair
 from stemma.llm.names import given_match, near
 from stemma.operators.components import connected_components
-from stemma.session import discard, materialize
-
-THRESHOLD = 0.25
+from stemma.session import materialize, scratch
+
+#: similar titles share n-grams of this part of the weight of the lighter one ...
+SHARE = 0.4
+#: ... which has this part of the weight of the heavier one
+RATIO = 0.25
+#: no n-gram weighs more, so that a slip, which makes the rarest n-grams of all, cannot outweigh a short title
+HEAVIEST = 40.0
+#: titles without authors must agree in more
+BARE_SHARE, BARE_RATIO = 0.6, 0.4
 #: two years apart counts as a slip on either side; a reissue comes later
 MAX_YEAR_GAP = 3
+#: rows of one DOI up to this many meet directly, more of them by n-grams and surnames under the DOI
+DOI_ROWS = 20
+#: letters that a title must have to be the beginning of another
+BEGINNING = 12
+#: five words to a shingle; texts are the same from this share of the shorter one's shingles on
+SHINGLE, TEXT_SHARE = 5, 0.8
 ACCEPT = 0.62
 NO = (0.0, False)
-#: a gram in fewer than one row of so many tells a title from others of its pattern
-TELLING_SHARE = 400
-
-_POST = "key bigint, rid bigint, n int, pos int, bare int, year int, doi int, vol int"
-_POST_ARROW = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("bare", pa.int32()), ("year", pa.int32()), ("doi", pa.int32()), ("vol", pa.int32())])
 
 
 def rarity(rows: DataFrame, whole: bool = False) -> np.ndarray:
-    """How often each bucket of word heads (of whole words) occurs; always ``WORD_BUCKETS`` numbers."""
+    """How often each bucket of n-grams (of whole words) occurs; always ``WORD_BUCKETS`` numbers."""
     counts = np.zeros(records.WORD_BUCKETS, dtype=np.int32)
     b = F.explode("words").alias("b")
     if whole:
@@ -62,124 +81,148 @@ def rarity(rows: DataFrame, whole: bool = False) -> np.ndarray:
     return counts
 
 
-def _prefix(n: int, threshold: float) -> int:
-    return n - int(np.ceil(threshold * n)) + 1
-
+def gram_weights(counts: np.ndarray, total: int) -> np.ndarray:
+    """The weight of each n-gram in hundredths, at least 1."""
+    w = np.minimum(HEAVIEST, np.log(np.maximum(1.5, total / np.maximum(1, counts.astype(np.float64)))) ** 2)
+    return np.maximum(1, np.round(w * 100)).astype(np.int64)
 
-_PAIRS = ((0, 1), (0, 2), (1, 2))
-_GRAM, _OTHER, _BARE, _FULL = range(4)
 
-
-def _postings(table, total: int, threshold: float):
-    counts = table
+def _weighed(weights):
+    """Adds to each row its n-grams rare-first, the weight from each of them on, and the whole weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = counts.value.astype(np.int64)
-        order = (df * records.WORD_BUCKETS + np.arange(len(df))).tolist()  # rarest first, ties by bucket
-        rare = (df * TELLING_SHARE <= max(total, TELLING_SHARE * 4)).tolist()
-        h = lru_cache(maxsize=100_000)(records.h64)
+        w = weights.value
         for batch in batches:
-            # every posting: the two halves of its key, its row in the batch, place in the prefix, kind
-            left: list[int] = []
-            right: list[int] = []
-            at: list[int] = []
-            place: list[int] = []
-            kind: list[int] = []
-            sizes: list[int] = []
-            cols = [batch.column(c).to_pylist() for c in ("words", "keys", "doi", "isbn", "abstract_key", "title", "cut")]
-            for r, (words, keys, doi, isbn, akey, title, cut) in enumerate(zip(*cols)):
-                words = sorted(words, key=order.__getitem__)
-                n = len(words)
-                sizes.append(n)
-                prefix = words[: _prefix(n, threshold)] if n else []
-                telling = sum(map(rare.__getitem__, prefix))
-                if telling > 1:
-                    # what is left of the prefix is the pattern of the title; alone it proves nothing
-                    prefix = prefix[:telling]
-                hashed = [h("a" + k) for k in keys]
-                m = len(prefix)
-                for k in hashed:
-                    left += [k] * m
-                    right += prefix
-                    place += range(m)
-                kind += [_GRAM] * (m * len(hashed))
-                at += [r] * (m * len(hashed))
-                extra: list[tuple[int, int, int]] = []
-                if title:
-                    # a title that is cut off, or tells little, meets the others by its beginning
-                    head = h("h" + title.replace(" ", "")[:8])
-                    bare = _BARE if cut or telling < 2 else _FULL
-                    extra += [(k, head, bare) for k in hashed]
-                # rows without authors meet the others through pairs of their three rarest grams
-                for i, j in _PAIRS[:1] if keys else _PAIRS:
-                    if j < n:
-                        extra.append((words[i] + (1 << 40), words[j], _FULL if keys else _BARE))
-                if n > 3:
-                    # a slip in an author's name: the three rarest grams together
-                    extra.append((words[0] + (1 << 41) + (words[1] << 20), words[2], _OTHER))
-                if doi:
-                    d = h("d" + doi)
-                    extra += [(d, k, _OTHER) for k in hashed]
-                    extra += [(d, w, _OTHER) for w in words[: 5 if keys else 8]]
-                if isbn:
-                    extra += [(h("i" + x), k, _OTHER) for x in isbn.split(";") for k in hashed]
-                if akey is not None:
-                    extra += [(akey, k, _OTHER) for k in hashed]
-                for a, b, c in extra:
-                    left.append(a)
-                    right.append(b)
-                    kind.append(c)
-                    place.append(0)
-                    at.append(r)
-            row = pa.array(at, pa.int64())
-            kinds = np.array(kind, dtype=np.int32)
-            key = (np.array(left, dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((np.array(right, dtype=np.int64).view(np.uint64) + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F))
-            key ^= key >> np.uint64(29)
-            key *= np.uint64(0x165667B19E3779F9)
-            n = np.where(kinds == _GRAM, np.array(sizes, dtype=np.int32)[at] if at else np.array([], dtype=np.int32), 0).astype(np.int32)
-            bare = np.where(kinds == _BARE, 1, np.where(kinds == _FULL, 2, 0)).astype(np.int32)
-            # a DOI as 31 bits: unequal ones exclude each other
-            docs = pa.array([None if x is None else h("d" + x) >> 33 for x in cols[2]], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), batch.column("rid").take(row), pa.array(n), pa.array(place, pa.int32()), pa.array(bare), batch.column("year").take(row), docs.take(row), batch.column("vol").take(row)], schema=_POST_ARROW
-            )
+            col = batch.column("words")
+            lens = np.diff(col.offsets.to_numpy())
+            flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(lens)), lens)
+            own = w[flat]
+            order = np.lexsort((flat, -own, row))
+            flat, own = flat[order], own[order]
+            ends = np.cumsum(own)
+            tot = np.add.reduceat(np.r_[own, 0], np.minimum(np.r_[0, np.cumsum(lens)[:-1]], len(own))) if len(lens) else np.zeros(0, np.int64)
+            tot = np.where(lens > 0, tot, 0)
+            rest = (np.cumsum(tot)[row] - ends + own).astype(np.int32)
+            off = pa.array(np.r_[0, np.cumsum(lens)], pa.int32())
+            made = [pa.ListArray.from_arrays(off, pa.array(flat, pa.int32())), pa.ListArray.from_arrays(off, pa.array(rest, pa.int32())), pa.array(tot, pa.int32())]
+            at = batch.schema.get_field_index("words")
+            keep = [(c, n) for i, (c, n) in enumerate(zip(batch.columns, batch.schema.names)) if i != at]
+            yield pa.RecordBatch.from_arrays([*(c for c, _ in keep), *made], names=[*(n for _, n in keep), "grams", "rest", "weight"])
 
     return run
 
 
-def candidates(reps: DataFrame, counts, total: int, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs (a < b) that pass the prefix, length and positional filters.
+_REP = "rid bigint, year int, doi string, title string, vol int, review boolean, cut boolean, surnames array<string>, authors string, container string, isbn string, grams array<int>, rest array<int>, weight int"
+#: one edit apart: both spellings, or what is left of them without one letter, are equal
+_DELETIONS = "array_distinct(concat(array({0}), transform(sequence(1, length({0})), i -> concat(substr({0}, 1, i - 1), substr({0}, i + 1)))))"
 
-    Years, DOIs and volumes that exclude each other drop a pair at the join already.
-    """
-    spark = reps.sparkSession
-    table = spark.sparkContext.broadcast(counts)  # WORD_BUCKETS numbers, whatever the input
-    post = reps.select("rid", "words", "keys", "doi", "isbn", "abstract_key", "year", "vol", "title", "cut").mapInArrow(_postings(table, total, threshold), _POST)
-    # one exchange serves both sides of the join: postings are made and shuffled once
-    post = post.repartition("key")
-    side = lambda s: [F.col(c).alias(c + s) for c in ("rid", "n", "pos", "bare", "year", "doi", "vol")]
-    a, b = post.select("key", *side("_a")), post.select("key", *side("_b"))
-    need = F.expr(f"ceil({threshold / (1 + threshold)} * (n_a + n_b) - 1e-9)")
-    ok = F.expr(f"n_a = 0 or n_b = 0 or (least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-9)") & (
-        F.expr("n_a = 0 or n_b = 0") | (F.expr("least(n_a - pos_a, n_b - pos_b) + least(pos_a, pos_b)") >= need)
-    )
-    apart = F.expr(f"coalesce(abs(year_a - year_b) > {MAX_YEAR_GAP}, false) or coalesce(doi_a != doi_b, false) or coalesce(vol_a != vol_b, false)")
-    # a merge join whatever the statistics say: postings are many times the table they come from
-    pairs = a.hint("merge").join(b.hint("merge"), "key").where("rid_a < rid_b").where(~apart).where("not (bare_a = 2 and bare_b = 2)").where(ok).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).distinct()
-    return materialize(pairs, "pairs")
+
+def surname_aliases(reps: DataFrame) -> DataFrame:
+    """(surname, alias): spellings under which rows of a rarer spelling post as well."""
+    s = materialize(reps.select(F.explode("surnames").alias("surname")).groupBy("surname").agg(F.count("*").alias("n")), "surnames")
+    d = s.where("length(surname) > 4").withColumn("d", F.explode(F.expr(_DELETIONS.format("surname"))))
+    o = d.select("d", F.col("surname").alias("alias"), F.col("n").alias("m"))
+    # what shares a deletion is one edit apart or a swap of letters two places apart; the verification tells them apart
+    one = d.join(o, "d").where("m > n or (m = n and alias < surname)").select("surname", "alias")
+    h = s.where("length(surname) > 6").withColumn("d", F.substring("surname", 1, 7))
+    p = h.join(h.select("d", F.col("surname").alias("alias"), F.col("n").alias("m")), "d").where("(m > n or (m = n and alias < surname)) and (startswith(surname, alias) or startswith(alias, surname))").select("surname", "alias")
+    return materialize(one.unionByName(p).distinct().groupBy("surname").agg(F.collect_list("alias").alias("aliases")), "aliases")
+
+
+def _keyed(reps: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Each row once for every surname, and every alias of one, as ``key``."""
+    per = reps.withColumn("surname", F.explode("surnames")).join(aliases, "surname", "left")
+    return per.withColumn("key", F.explode(F.expr("concat(array(surname), coalesce(aliases, array()))")))
 
 
-def _worth(threshold: float) -> Column:
-    """The suffix filter, and what the verification cannot do without: rows that share no telling word
-    (and are not a few slips apart) are kept only for their DOI, a cut-off or missing title, or a text in common."""
-    na, nb = F.expr("size(x.words)"), F.expr("size(y.words)")
-    suffix = F.expr("bit_count(x.sig ^ y.sig)") <= na + nb - 2 * F.ceil(threshold / (1 + threshold) * (na + nb) - F.lit(1e-9))
-    begun = "startswith(replace(x.title, ' ', ''), replace(y.title, ' ', '')) or startswith(replace(y.title, ' ', ''), replace(x.title, ' ', ''))"
-    other = F.expr(f"x.doi = y.doi or x.title = '' or y.title = '' or x.cut or y.cut or {begun}")
-    # subtitles of one row only: all words of the shorter title may be in the longer one
-    inside = F.expr("size(array_intersect(x.words, y.words)) >= 0.6 * least(size(x.words), size(y.words))")
-    told = F.expr("size(x.telling) = 0 or size(y.telling) = 0 or arrays_overlap(x.telling, y.telling) or levenshtein(x.title, y.title, 7) >= 0")
-    return F.coalesce(other, F.lit(False)) | ((suffix | inside) & told)
+def _post(df: DataFrame, *cell, rest="0", weight="0") -> DataFrame:
+    doi = F.expr("cast(xxhash64(doi) >> 33 as int)")  # null without a DOI; unequal ones exclude each other
+    return df.select(F.xxhash64(*cell).alias("cell"), "rid", F.expr(rest).cast("int").alias("rest"), F.expr(weight).cast("int").alias("weight"), "year", F.when(F.col("doi").isNotNull(), doi).alias("doi"), "vol")
+
+
+def _grams(df: DataFrame, share: float, ratio: float) -> DataFrame:
+    """Each row once for every n-gram of its prefix: of what is left from the n-gram on, the weight suffices as the heavier title."""
+    each = F.explode(F.expr(f"filter(arrays_zip(grams, rest), x -> x.rest >= {share * ratio} * weight - 0.001)"))
+    return df.withColumn("g", each).select("*", F.col("g.grams").alias("gram"), F.col("g.rest").alias("left_")).drop("g", "grams", "rest")
+
+
+_APART = f"coalesce(abs(year_a - year_b) > {MAX_YEAR_GAP}, false) or coalesce(doi_a != doi_b, false) or coalesce(vol_a != vol_b, false)"
+
+
+def _join(post: DataFrame, share: float, ratio: float) -> DataFrame:
+    """Pairs (a < b) of one cell that pass the length, positional and exclusion filters; the same pair may come from several cells."""
+    side = lambda s: [F.col(c).alias(c + s) for c in ("rid", "rest", "weight", "year", "doi", "vol")]
+    a, b = post.select("cell", *side("_a")), post.select("cell", *side("_b"))
+    ok = f"least(rest_a, rest_b) >= {share} * least(weight_a, weight_b) - 0.001 and (least(weight_a, weight_b) >= {ratio} * greatest(weight_a, weight_b) or least(weight_a, weight_b) = 0)"
+    # a merge join whatever the statistics say: postings are many times the table they come from
+    return a.hint("merge").join(b.hint("merge"), "cell").where("rid_a < rid_b").where(ok).where(f"not ({_APART})").select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
+
+
+def candidates(reps: DataFrame, aliases: DataFrame, share: float = SHARE, ratio: float = RATIO) -> DataFrame:
+    """Distinct pairs (a < b) of the rows (weighed, one per class) that may be one publication."""
+    slim = reps.select("rid", "grams", "rest", "weight", "year", "doi", "vol", "title", "isbn", "surnames")
+    keyed = _keyed(slim, aliases)
+    by_gram = _post(_grams(keyed.select("rid", "grams", "rest", "weight", "year", "doi", "vol", "key"), share, ratio), "key", "gram", rest="left_", weight="weight")
+    begins = _post(keyed.where(f"length(replace(title, ' ', '')) >= {BEGINNING}").withColumn("h", F.expr(f"substr(replace(title, ' ', ''), 1, {BEGINNING})")), "key", "h")
+    # an ISBN speaks only where a title is missing: of two rows one must weigh nothing
+    isbn = keyed.where("isbn != ''").withColumn("i", F.explode(F.split("isbn", ";")))
+    isbn = _post(isbn, F.lit("isbn"), "i", "key", weight="case when title = '' then 0 else 1 end")
+    per_doi = slim.where("doi is not null").groupBy("doi").agg(F.count("*").alias("n")).where("n > 1")
+    same = slim.join(materialize(per_doi, "dois"), "doi")
+    few = _post(same.where(f"n <= {DOI_ROWS}"), F.lit("doi"), "doi")
+    many = same.where(f"n > {DOI_ROWS}")
+    many_g = _post(_grams(many, share, ratio), F.lit("doi"), "doi", "gram", rest="left_", weight="weight")
+    many_s = _post(_keyed(many, aliases), F.lit("doi"), "doi", F.lit("surname"), "key")
+    pairs = _join(by_gram.unionByName(begins).unionByName(isbn).unionByName(few).unionByName(many_g).unionByName(many_s), share, ratio)
+    return materialize(pairs.unionByName(without_authors(slim)).distinct(), "pairs")
+
+
+def without_authors(reps: DataFrame) -> DataFrame:
+    """Pairs of which one row has no authors: they must share n-grams of ``BARE_SHARE`` of the lighter title, and the year, two years either way."""
+    cols = ("rid", "rest", "weight", "year", "doi", "vol")
+    bare = _grams(reps.where("size(surnames) = 0 and weight > 0"), BARE_SHARE, BARE_RATIO)
+    full = _grams(reps.where("weight > 0"), BARE_SHARE, BARE_RATIO)
+    dated = bare.where("year is not null").withColumn("y", F.explode(F.expr("array(year - 2, year - 1, year, year + 1, year + 2, cast(null as int))")))
+    dated = materialize(_post(dated, "gram", "y", rest="left_", weight="weight"), "bare")
+    undated = materialize(_post(bare.where("year is null"), "gram", rest="left_", weight="weight"), "bare")
+    out = []
+    for asked, rows in ((dated, _post(full, "gram", "year", rest="left_", weight="weight")), (undated, _post(full, "gram", rest="left_", weight="weight"))):
+        a, b = (t.select("cell", *[F.col(c).alias(c + s) for c in cols]) for t, s in ((asked, "_a"), (rows, "_b")))
+        ok = f"least(rest_a, rest_b) >= {BARE_SHARE} * least(weight_a, weight_b) - 0.001 and least(weight_a, weight_b) >= {BARE_RATIO} * greatest(weight_a, weight_b)"
+        out.append(a.join(b, "cell").where("rid_a != rid_b").where(ok).where(f"not ({_APART})").select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")))
+    return out[0].unionByName(out[1])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text in batch.column(1).to_pylist():
+            w = [] if records.placeholder(text) else records.fold(repair(text)[0])
+            out.append(sorted({records.h64(" ".join(w[i : i + SHINGLE])) for i in range(len(w) - SHINGLE + 1)}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["rid", "shingles"])
+
+
+def same_texts(corpus: DataFrame, reps: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Pairs of a row without a title and another of a common surname whose whole abstracts share ``TEXT_SHARE`` of the shorter one's shingles.
+
+    Of two such texts the first shingles of the shorter one, by value, as many as may be
+    missing and one more, hold one that the other has.
+    """
+    keyed = _keyed(reps.select("rid", "surnames", "year", "doi", "title"), aliases)
+    asked = materialize(keyed.where("title = ''").select("rid", "key", "year", "doi").distinct(), "untitled")
+    u = asked.select("key", F.col("year").alias("u_year"), F.col("doi").alias("u_doi"), F.col("rid").alias("u")).distinct()
+    close = "coalesce(abs(year - u_year) <= 2, true) and coalesce(doi = u_doi, true) and rid != u"
+    rows = materialize(keyed.join(u, "key").where(close).select("rid", "key").unionByName(keyed.join(u, "key").where(close).select(F.col("u").alias("rid"), "key")).distinct(), "close")
+    texts = corpus.select(F.col("record_id").alias("rid"), "abstract").where("length(abstract) > 40").join(rows.select("rid").distinct(), "rid", "left_semi")
+    texts = materialize(texts.mapInArrow(_shingled, "rid bigint, shingles array<bigint>").where("size(shingles) > 0"), "shingles")
+    n = f"size(shingles) - ceil({TEXT_SHARE} * size(shingles) - 1e-9)"
+    each = texts.join(rows, "rid").select("rid", "key", F.posexplode("shingles").alias("at", "g"), F.expr(n).alias("last"))
+    b = each.select("key", "g", F.col("rid").alias("rid_b"), F.expr("at <= last").alias("q_b"))
+    a = each.join(asked.select("rid").distinct(), "rid", "left_semi").select("key", "g", F.col("rid").alias("rid_a"), F.expr("at <= last").alias("q_a"))
+    met = a.join(b, ["key", "g"]).where("rid_a != rid_b and (q_a or q_b)").select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")).distinct()
+    both = met.join(texts.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a").join(texts.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
+    return materialize(both.where(f"size(array_intersect(x, y)) >= {TEXT_SHARE} * least(size(x), size(y)) - 1e-9").select("a", "b"), "texts")
 
 
 # -------------------------------------------------------------------- verification
@@ -259,7 +302,7 @@ def authors_agree(a: tuple, b: tuple) -> float:
     return 1.0 if hits == len(short) else 0.5
 
 
-def same_publication(a: dict, b: dict, weight) -> tuple[float, bool]:
+def same_publication(a: dict, b: dict, weight, text_eq: bool = False) -> tuple[float, bool]:
     """(score up to 2, 0 for different publications; does the title tell enough?)."""
     ya, yb = a["year"], b["year"]
     if ya is not None and yb is not None and abs(ya - yb) > MAX_YEAR_GAP:
@@ -284,7 +327,6 @@ def same_publication(a: dict, b: dict, weight) -> tuple[float, bool]:
             return NO
     au = authors_agree(_author_list(a["authors"]), _author_list(b["authors"]))
     isbn_eq = bool(a["isbn"] and b["isbn"] and set(a["isbn"].split(";")) & set(b["isbn"].split(";")))
-    text_eq = a["abstract_key"] is not None and a["abstract_key"] == b["abstract_key"]
     if not a["title"] or not b["title"]:
         if doi_eq and au > 0:
             return 1.5, True
@@ -319,6 +361,12 @@ _GENERIC = 58.0
 _TELLING = 60.0
 
 
+#: why a link is loose at an end: nothing, no year there, or a title that tells too little there
+FIRM, UNDATED, BARE = 0, 1, 2
+_PARTS = ("title", "vol", "review", "cut", "year", "doi", "authors", "container", "isbn")
+_SCORED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64()), ("loose_a", pa.int32()), ("loose_b", pa.int32())])
+
+
 def _verify(counts, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = counts.value
@@ -332,78 +380,91 @@ def _verify(counts, total: int):
                     memo.clear()
             return v
 
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64()), ("loose_a", pa.bool_()), ("loose_b", pa.bool_())])
         for batch in batches:
             res: list[list] = [[], [], [], [], []]
-            ids = (batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            xs, ys = (zip(*(batch.column(i).field(c).to_pylist() for c in _PARTS)) for i in (2, 3))
-            for ra, rb, x, y in zip(*ids, xs, ys):
+            ids = (batch.column(i).to_pylist() for i in (0, 1, 2))
+            xs, ys = (zip(*(batch.column(i).field(c).to_pylist() for c in _PARTS)) for i in (3, 4))
+            for ra, rb, text, x, y in zip(*ids, xs, ys):
                 x, y = dict(zip(_PARTS, x)), dict(zip(_PARTS, y))
-                s, telling = same_publication(x, y, weight)
+                s, telling = same_publication(x, y, weight, text)
                 if s > 0:
-                    firm = x["doi"] is not None and x["doi"] == y["doi"]
-                    la, lb = x["year"] is None, y["year"] is None
-                    if not telling:
-                        la, lb = la or len(x["title"]) <= len(y["title"]), lb or len(y["title"]) <= len(x["title"])
-                    for c, v in zip(res, (ra, rb, s, la and not firm, lb and not firm)):
+                    la = lb = FIRM
+                    if x["doi"] is None or x["doi"] != y["doi"]:
+                        la, lb = (UNDATED if r["year"] is None else FIRM for r in (x, y))
+                        if not telling:
+                            la = BARE if len(x["title"]) <= len(y["title"]) else la
+                            lb = BARE if len(y["title"]) <= len(x["title"]) else lb
+                    for c, v in zip(res, (ra, rb, s, la, lb)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(res, schema)], schema=schema)
-
-    return run
-
-
-_REP = "rid bigint, year int, doi string, title string, words array<int>, sig bigint, vol int, review boolean, cut boolean, keys array<string>, authors string, container string, isbn string, abstract_key bigint, telling array<int>"
-
-
-def _with_telling(counts, total: int):
-    """Adds the title grams that are rare."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = counts.value * TELLING_SHARE <= max(total, TELLING_SHARE * 4)
-        for batch in batches:
-            told = [[w for w in ws if rare[w]] for ws in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.list_(pa.int32()))], names=[*batch.schema.names, "telling"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(res, _SCORED)], schema=_SCORED)
 
     return run
 
 
-_PARTS = ("title", "vol", "review", "cut", "year", "doi", "authors", "container", "isbn", "abstract_key")
-
+def agreeing(loose: DataFrame, facts: DataFrame) -> DataFrame:
+    """The loose links that do not contradict each other.
 
-def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    A row without a year could join two editions, a title that tells little two works.
+    Each such end is anchored by its best partner that has a year; if it has none, by the
+    anchor of its best partner.  A link stays if the year, DOI and volume of its two ends,
+    or what anchors them where they have none, do not exclude each other, and from a title
+    that tells little only if no link of its kind scores more.  All tied links stay, and
+    links between two loose ends come in addition, never instead.
+    """
+    ends = materialize(
+        loose.select(F.col("a").alias("u"), F.col("b").alias("o"), "score", F.col("loose_a").alias("why"), F.col("loose_b").alias("other")).unionByName(loose.select(F.col("b").alias("u"), F.col("a").alias("o"), "score", F.col("loose_b").alias("why"), F.col("loose_a").alias("other"))), "ends"
+    )
+    fact = facts.select(F.col("rid").alias("o"), F.struct("year", "doi", "vol").alias("f"))
+    ends = materialize(ends.join(fact, "o"), "ends")
+    best = F.max_by("f", F.struct("score", -F.col("o"))).alias("anchor")
+    own = materialize(ends.where("why > 0 and f.year is not null").groupBy("u").agg(best), "anchors")
+    lent = ends.where("why > 0").join(own.select("u"), "u", "left_anti").drop("f").join(own.select(F.col("u").alias("o"), F.col("anchor").alias("f")), "o").groupBy("u").agg(best)
+    top = ends.where("why > 0").groupBy("u", (F.col("other") > 0).alias("both")).agg(F.max("score").alias("top"))
+    e = ends.withColumn("both", F.col("other") > 0).join(own.unionByName(lent), "u", "left").join(top, ["u", "both"], "left").withColumn("best", (F.col("why") != BARE) | (F.col("score") >= F.col("top")))
+    x = e.where("u < o").select(F.col("u").alias("a"), F.col("o").alias("b"), F.col("why").alias("why_a"), F.col("anchor").alias("anchor_a"), F.col("f").alias("f_b"), F.col("best").alias("best_a"))
+    y = e.where("u > o").select(F.col("o").alias("a"), F.col("u").alias("b"), F.col("why").alias("why_b"), F.col("anchor").alias("anchor_b"), F.col("f").alias("f_a"), F.col("best").alias("best_b"))
+    stand = lambda c, s: F.coalesce(f"f_{s}.{c}", f"anchor_{s}.{c}").alias(f"{c}_{s}")
+    j = x.join(y, ["a", "b"]).where("case when why_a = 2 and why_b = 2 then best_a or best_b else best_a and best_b end")
+    return j.select("a", "b", *[stand(c, s) for c in ("year", "doi", "vol") for s in ("a", "b")]).where(f"not ({_APART})").select("a", "b")
+
+
+def links(rows: DataFrame, corpus: DataFrame, share: float = SHARE, ratio: float = RATIO) -> DataFrame:
     """(a, b): class members to their representative, rows of one source identifier, and verified pairs."""
     spark = rows.sparkSession
-    counts = rarity(rows)
-    total = max(1, rows.count())
     rep = rows.groupBy("cls").agg(F.min("record_id").alias("rid"))
-    members = rows.select("record_id", "cls").join(rep, "cls").where("record_id != rid").select(F.col("record_id").alias("b"), F.col("rid").alias("a"))
-    reps = rows.join(rep.select(F.col("rid").alias("record_id")), "record_id", "left_semi").withColumnRenamed("record_id", "rid")
-    common = spark.sparkContext.broadcast(counts)
-    reps = materialize(reps.drop("cls", "nat").mapInArrow(_with_telling(common, total), _REP), "reps")
+    members = rows.select("record_id", "cls").join(rep, "cls").where("record_id != rid").select(F.col("rid").alias("a"), F.col("record_id").alias("b"))
+    members = materialize(members, "members")
     nat = rows.select("record_id", F.explode("nat").alias("k"))
     heads = nat.groupBy("k").agg(F.min("record_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("k", "a")
     natural = nat.join(heads, "k").where("record_id != a").select("a", F.col("record_id").alias("b")).distinct()
-    pairs = candidates(reps, counts, total, threshold)
-    side = lambda c, s: reps.select(F.col("rid").alias(c), F.struct(*_PARTS, "words", "telling", "sig").alias(s))
-    slim = lambda s: F.struct(*[F.col(f"{s}.{p}").alias(p) for p in _PARTS]).alias(s)
-    table = spark.sparkContext.broadcast(rarity(rows, whole=True))
-    scored = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_worth(threshold)).select("a", "b", slim("x"), slim("y")).mapInArrow(_verify(table, total), "a bigint, b bigint, score double, loose_a boolean, loose_b boolean")
+    reps, counts, total = representatives(rows, members)
+    aliases = surname_aliases(reps)
+    pairs = candidates(reps, aliases, share, ratio)
+    texts = same_texts(corpus, reps, aliases)
+    pairs = pairs.select("a", "b", F.lit(False).alias("text")).unionByName(texts.select("a", "b", F.lit(True).alias("text")))
+    side = lambda c, s: reps.select(F.col("rid").alias(c), F.struct(*_PARTS).alias(s))
+    table = spark.sparkContext.broadcast(counts)  # WORD_BUCKETS numbers
+    scored = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "text", "x", "y").mapInArrow(_verify(table, total), "a bigint, b bigint, score double, loose_a int, loose_b int")
     scored = materialize(scored, "scored")
-    discard(pairs)
-    firm = scored.where("not loose_a and not loose_b").select("a", "b")
-    # a row without a year, or cut off before its title tells anything, takes only
-    # its best link, so that it cannot join two editions or two works
-    loose = scored.where("loose_a or loose_b")
-    ends = loose.where("loose_a").select(F.col("a").alias("u"), F.col("b").alias("o"), "score").unionByName(loose.where("loose_b").select(F.col("b").alias("u"), F.col("a").alias("o"), "score"))
-    best = ends.groupBy("u").agg(F.min_by("o", F.struct(-F.col("score"), F.col("o"))).alias("o"))
-    best = best.select(F.least("u", "o").alias("a"), F.greatest("u", "o").alias("b"))
-    return members.select("a", "b").unionByName(natural).unionByName(firm).unionByName(best)
-
-
-def groups(corpus: DataFrame, threshold: float = THRESHOLD, rows: DataFrame | None = None) -> DataFrame:
+    firm = scored.where("loose_a = 0 and loose_b = 0").select("a", "b")
+    return members.unionByName(natural).unionByName(firm).unionByName(agreeing(scored.where("loose_a > 0 or loose_b > 0"), reps))
+
+
+def representatives(rows: DataFrame, members: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """(one weighed row per class, counts of whole words, number of rows)."""
+    sc = rows.sparkSession.sparkContext
+    total = max(1, rows.count())
+    weights = sc.broadcast(gram_weights(rarity(rows), total))  # WORD_BUCKETS numbers
+    reps = rows.join(members.select(F.col("b").alias("record_id")), "record_id", "left_anti").withColumnRenamed("record_id", "rid").drop("cls", "nat")
+    return materialize(reps.mapInArrow(_weighed(weights), _REP), "reps"), rarity(rows, whole=True), total
+
+
+def groups(corpus: DataFrame, share: float = SHARE, ratio: float = RATIO, rows: DataFrame | None = None) -> DataFrame:
     """(record_id, group_id) of every row that has a duplicate; the group is its least row."""
-    rows = materialize(records.normalised(corpus), "records") if rows is None else rows
-    return connected_components(links(rows, threshold), "a", "b").select(F.col("node").alias("record_id"), F.col("component").alias("group_id"))
+    with scratch(corpus.sparkSession) as keep:
+        rows = materialize(records.normalised(corpus), "records") if rows is None else rows
+        found = connected_components(links(rows, corpus, share, ratio), "a", "b").select(F.col("node").alias("record_id"), F.col("component").alias("group_id"))
+        return keep(found, "groups")
 
 
 def pairs_of(grouped: DataFrame) -> DataFrame:

@@ -26,7 +26,6 @@ from stemma.llm.visual import canonical
 
 #: folded words and word heads are hashed into so many buckets: the size bound of the rarity tables
 WORD_BUCKETS = 1 << 18
-HEAD = 7
 
 # Marks that cataloguers add to titles, words for volumes and reviews.
 _TRAILERS = re.compile(
@@ -36,6 +35,8 @@ _ENDS = frozenset(")]/.… ")
 _CUT = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\.\.\.|…)\s*$")
 _VOLUME = re.compile(r"\b(?:vol|volume|band|bd|tome|tomo|tom|tomus|τομος|том|teil|часть)\b\.?\s*([ivxlc]{1,6}|\d{1,3})\b")
 _REVIEW = re.compile(r"^\W*(?:review of|book review|rezension(?:\s+zu)?|recensione (?:a|di)|compte rendu de|resena de|recensao (?:a|de)|resenha de|рецензия на|βιβλιοκρισια|recensio)\b")
+# Beginnings of the words of _VOLUME, looked for before the pattern is run.
+_VOLUME_HINTS = ("vol", "band", "bd", "tom", "teil", "τομ", "том", "част")
 _REVIEW_MARK = re.compile(r"\((?:cr|rec\.?|review|recensione|rezension)\)")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _WORD = re.compile(r"[^\W_]+")
@@ -43,12 +44,12 @@ _DOI = re.compile(r"10\.\d{4,9}/\S+")
 _ABSENT = re.compile(r"^\W*(?:no abstract available|abstract|tba|n/?a|see full text|kein abstract|résumé non disponible|abstract not supplied|not available|none|null|without abstract|sans résumé|sin resumen)?\W*$", re.I)
 
 SCHEMA = (
-    "record_id bigint, nat array<bigint>, year int, doi string, cls bigint, title string, words array<int>, sig bigint, vol int, "
-    "review boolean, cut boolean, keys array<string>, authors string, container string, isbn string, abstract_key bigint"
+    "record_id bigint, nat array<bigint>, year int, doi string, cls bigint, title string, words array<int>, vol int, "
+    "review boolean, cut boolean, surnames array<string>, authors string, container string, isbn string"
 )
 _MADE = pa.schema([
-    ("cls", pa.int64()), ("title", pa.string()), ("words", pa.list_(pa.int32())), ("sig", pa.int64()), ("vol", pa.int32()), ("review", pa.bool_()), ("cut", pa.bool_()),
-    ("keys", pa.list_(pa.string())), ("authors", pa.string()), ("container", pa.string()), ("isbn", pa.string()), ("abstract_key", pa.int64()),
+    ("cls", pa.int64()), ("title", pa.string()), ("words", pa.list_(pa.int32())), ("vol", pa.int32()), ("review", pa.bool_()), ("cut", pa.bool_()),
+    ("surnames", pa.list_(pa.string())), ("authors", pa.string()), ("container", pa.string()), ("isbn", pa.string()),
 ])
 #: separators of flattened lists and of their parts
 LIST, PART = "\x1e", "\x1f"
@@ -111,7 +112,7 @@ def title_parts(title: str | None) -> tuple[str, int | None, bool, bool]:
         review, f = True, f[m.end() :]
     if "(" in f and _REVIEW_MARK.search(f):
         review, f = True, _REVIEW_MARK.sub(" ", f)
-    m = _VOLUME.search(f)
+    m = _VOLUME.search(f) if any(h in f for h in _VOLUME_HINTS) else None
     vol = None
     if m:
         v = m.group(1)
@@ -151,33 +152,24 @@ def placeholder(abstract: str | None) -> bool:
     return abstract is None or bool(_ABSENT.match(abstract))
 
 
-def _signature(words: list[int]) -> int:
-    """Parities of the set in 64 parts: the bits two rows differ in bound their set difference from below."""
-    sig = 0
-    for w in words:
-        sig ^= 1 << (w * 0x9E3779B1 >> 7 & 63)
-    return sig - (1 << 64) if sig >= 1 << 63 else sig
-
-
 @lru_cache(maxsize=50_000)
 def _folded(s: str) -> str:
     return " ".join(_WORD.findall(strip_marks(canonical(s))))
 
 
-def author_parts(authors: str | None) -> tuple[list[str], str]:
-    """(blocking keys: the letters of each surname and, for a single author, its head; comparable forms)."""
+@lru_cache(maxsize=50_000)
+def author_parts(authors: str | None) -> tuple[tuple[str, ...], str, str]:
+    """(surnames, comparable forms, the forms in order)."""
     if not authors:
-        return [], ""
+        return (), "", ""
     forms = []
     for a in authors.split(LIST):
         name, _, kind = a.partition(PART)
         f = names.parse(name, kind or None)
         if f:
             forms.append(f)
-    keys = {"".join(sorted(set(f.surname))) for f in forms if f.surname}
-    if len(forms) == 1 and len(forms[0].surname) > HEAD:
-        keys.add("~" + forms[0].surname[:HEAD])
-    return sorted(keys), ";".join(f.surname + "|" + ",".join(f.givens) if f.kind == "person" else f.surname + "|=" + f.initials for f in forms)
+    told = [f.surname + "|" + ",".join(f.givens) if f.kind == "person" else f.surname + "|=" + f.initials for f in forms]
+    return tuple(sorted({f.surname for f in forms if f.surname})), ";".join(told), ";".join(sorted(told))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,22 +178,29 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [batch.column(i).to_pylist() for i in (0, *range(2, batch.num_columns))]
         for rid, year, doi, raw, names_, isbns, cont, ab in zip(*cols):
             title, vol, review, cut = title_parts(raw)
-            keys, forms = author_parts(names_)
+            surnames, forms, ordered = author_parts(names_)
             split = title.split()
-            words = list(dict.fromkeys([g for w in split if len(w) > 1 for g in grams(w)])) or [g for w in split[:1] for g in grams(w)]
+            # what is left of a word that was broken off says nothing where other words do
+            told = [w for w in (split[:-1] if cut and len(split) > 4 else split) if len(w) > 1] or split[:1]
+            words = list(dict.fromkeys([g for w in told for g in grams(w)]))
             isbn = ";".join(sorted({x for x in map(isbn13, isbns.split(LIST)) if x})) if isbns else ""
             container = _folded(cont) if cont else None
-            akey = None
-            if ab and len(ab) > 40:
-                akey = h64(" ".join(_WORD.findall(strip_marks(ab)))[:60])
+            text = "" if title or not ab or placeholder(ab) else " ".join(fold(repair(ab)[0]))
             # rows that say too little to be copies of each other are classes of their own
-            alone = "" if (len(split) > 2 or (split and forms)) or (doi and forms) or (forms and (akey is not None or isbn)) else str(rid)
-            cls = h64(alone + "\x1f".join([title, str(vol), str(review), str(cut), str(year), doi or "", ";".join(sorted(forms.split(";"))), container or "", "" if title else str(akey), "" if title else isbn]))
-            for col, v in zip(out, (cls, title, words, _signature(words), vol, review, cut, keys, forms, container, isbn, akey)):
+            alone = "" if (len(split) > 2 or (split and forms)) or (doi and forms) or (forms and (text or isbn)) else str(rid)
+            cls = h64(f"{alone}\x1f{title}\x1f{vol}\x1f{review}\x1f{cut}\x1f{year}\x1f{doi or ''}\x1f{ordered}\x1f{container or ''}\x1f{text}\x1f{'' if title else isbn}")
+            for col, v in zip(out, (cls, title, words, vol, review, cut, surnames, forms, container, isbn)):
                 col.append(v)
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, f.type) for c, f in zip(out, _MADE))], names=[*batch.schema.names[:4], *_MADE.names])
 
 
+def fold(text: str) -> list[str]:
+    """The folded words of a text."""
+    return _WORD.findall(strip_marks(text))
+
+
+#: titles without a letter or digit; only there the text of the abstract is part of what makes rows equal
+UNTITLED = "title is null or not rlike(title, '[\\\\p{L}\\\\p{N}]')"
 NATURAL_KEYS = "array_distinct(transform(filter(concat(coalesce(sources, array()), array(struct(source, source_id))), s -> s.source is not null and s.source_id is not null), s -> xxhash64(s.source, s.source_id)))"
 _AUTHORS = "array_join(transform(filter(authors, a -> a.name is not null), a -> concat(a.name, '\x1f', coalesce(a.type, ''))), '\x1e')"
 
@@ -210,6 +209,6 @@ def normalised(corpus: DataFrame) -> DataFrame:
     """One row of comparable parts per row of ``corpus``."""
     df = corpus.select(
         "record_id", F.expr(NATURAL_KEYS).alias("nat"), "year", F.expr(PLAIN_DOI).alias("doi"), "title", F.expr(_AUTHORS).alias("authors"),
-        F.expr("array_join(concat(coalesce(isbn, array()), array(isbn_issn)), '\x1e')").alias("isbn"), "container", F.expr("substr(abstract, 1, 120)").alias("abstract"),
+        F.expr("array_join(concat(coalesce(isbn, array()), array(isbn_issn)), '\x1e')").alias("isbn"), "container", F.expr(f"case when {UNTITLED} then abstract end").alias("abstract"),
     )
     return df.mapInArrow(_rows, SCHEMA)

@@ -48,27 +48,68 @@ def test_groups_of_nothing(corpus):
     assert p1_neardup.groups(corpus.where("false")).count() == 0
 
 
+def _weighed(rows):
+    members = rows.sparkSession.createDataFrame([], "a bigint, b bigint")
+    return p1_neardup.representatives(rows, members)[0]
+
+
 def test_candidates_miss_no_similar_pair(spark, data):
-    """Prefix, length and positional filters lose no pair over the threshold inside an author key."""
-    rows = records.normalised(spark.read.parquet(f"{data}/corpus.parquet")).cache()
-    reps = rows.withColumnRenamed("record_id", "rid")
-    counts, total = p1_neardup.rarity(rows), rows.count()
-    got = {tuple(r) for r in p1_neardup.candidates(reps, counts, total).collect()}
-    rare = counts * p1_neardup.TELLING_SHARE <= max(total, p1_neardup.TELLING_SHARE * 4)
-    local = reps.select("rid", "words", "keys", "year", "doi", "vol").collect()
-    checked = 0
+    """Every pair of a common surname whose titles are similar by the declared measure is a candidate, telling words or not."""
+    reps = _weighed(records.normalised(spark.read.parquet(f"{data}/corpus.parquet"))).cache()
+    got = {tuple(r) for r in p1_neardup.candidates(reps, p1_neardup.surname_aliases(reps)).collect()}
+    local = reps.collect()
+    weigh = {}
+    for r in local:
+        ends = [*r["rest"][1:], 0]
+        weigh[r["rid"]] = {g: x - y for g, x, y in zip(r["grams"], r["rest"], ends)}
+        assert r["rest"] == sorted(r["rest"], reverse=True) and r["weight"] == (r["rest"] or [0])[0]
+    checked = slipped = bare = 0
     for i, a in enumerate(local):
         for b in local[i + 1 :]:
-            if not set(a["keys"]) & set(b["keys"]) or not a["words"] or not b["words"]:
-                continue
             if (a["year"] and b["year"] and abs(a["year"] - b["year"]) > p1_neardup.MAX_YEAR_GAP) or (a["doi"] and b["doi"] and a["doi"] != b["doi"]) or (a["vol"] and b["vol"] and a["vol"] != b["vol"]):
                 continue
-            x, y = set(a["words"]), set(b["words"])
-            telling = {w for w in x & y if rare[w]}
-            if len(x & y) / len(x | y) >= p1_neardup.THRESHOLD and telling:
+            x, y = weigh[a["rid"]], weigh[b["rid"]]
+            low, high = sorted((sum(x.values()), sum(y.values())))
+            both = sum(x[g] for g in x.keys() & y.keys())
+            same = bool(set(a["surnames"]) & set(b["surnames"]))
+            almost = any(near(s, t) for s in a["surnames"] for t in b["surnames"] if len(s) > 4 and len(t) > 4)
+            if (same or almost) and low and both >= p1_neardup.SHARE * low and low >= p1_neardup.RATIO * high:
                 checked += 1
+                slipped += not same
+                assert (min(a["rid"], b["rid"]), max(a["rid"], b["rid"])) in got
+            close = a["year"] is None or b["year"] is None or abs(a["year"] - b["year"]) <= 2
+            if not (a["surnames"] and b["surnames"]) and close and low and both >= p1_neardup.BARE_SHARE * low and low >= p1_neardup.BARE_RATIO * high:
+                bare += 1
                 assert (min(a["rid"], b["rid"]), max(a["rid"], b["rid"])) in got
-    assert checked > 10
+    assert checked > 30 and bare > 0
+
+
+def test_many_rows_of_one_doi_meet_by_their_words(spark, monkeypatch):
+    rows = [rec(i, f"Chapter of {w} and {v}", (f"Person{w}, Ada",), 1990, "10.5555/book") for i, (w, v) in enumerate(zip(_words(1), _words(2))) if i < 40]
+    rows += [rec(100, "Chapter of " + _words(1)[7] + " and " + _words(2)[7], None, 1990, "10.5555/book"), rec(101, None, (f"Person{_words(1)[9]}, A.",), 1990, "10.5555/book")]
+    g = {r["record_id"]: r["group_id"] for r in p1_neardup.groups(spark.createDataFrame(rows, CORPUS)).collect()}
+    assert g == {7: 7, 100: 7, 9: 9, 101: 9}
+
+
+def test_links_of_undated_rows_are_all_kept(spark):
+    title = "The lost letters of Xanthemon at Nerapolis"
+    same = [rec(1, title, year=None), rec(2, title + "s", year=None), rec(3, "The lost leters of Xanthemon at Nerapolis", year=1990), rec(4, "The lost letters of Xanthemn at Nerapolis", year=1991)]
+    rest = [rec(100 + i, f"{w} und {v}", (f"Person{w}, Ada",)) for i, (w, v) in enumerate(zip(_words(1), _words(2))) if i < 60]
+    for more in ([], rest):  # titles that tell little among four rows, and much among many
+        g = {r["record_id"]: r["group_id"] for r in p1_neardup.groups(spark.createDataFrame(same + more, CORPUS)).collect()}
+        assert set(g.values()) == {1} and len(g) == 4
+    # two editions are not joined by undated rows between them
+    editions = [*same[:2], rec(3, "The lost leters of Xanthemon at Nerapolis", year=1990), rec(4, "The lost letters of Xanthemn at Nerapolis", year=2010)]
+    g = {r["record_id"]: r["group_id"] for r in p1_neardup.groups(spark.createDataFrame(editions, CORPUS)).collect()}
+    assert g[3] != g.get(4, 4) and g[1] == g[2]
+
+
+def test_rows_without_title_meet_by_the_whole_abstract(spark):
+    other = LONG[:60] + " but this abstract goes on in quite another way, with other words for everything that follows here."
+    slip = LONG.replace("argument", "argumant")
+    rows = [rec(1, None, abstract=slip), rec(2, "The lost letters of Xanthemon at Nerapolis", abstract=LONG * 2 + " It ends elsewhere."), rec(3, "Another work of the same author", abstract=other), rec(4, None, abstract="n/a")]
+    g = {r["record_id"]: r["group_id"] for r in p1_neardup.groups(spark.createDataFrame(rows, CORPUS)).collect()}
+    assert g == {1: 1, 2: 1}
 
 
 @pytest.mark.parametrize("title, want", [("X, vol. IV: Y", ("x y", 4, False, False)), ("Review of: X", ("x", None, True, False)), ("X y [...]", ("x y", None, False, True)), ("X [article]", ("x", None, False, False)), ("X (Studien und Texte 12)", ("x", None, False, False)), (None, ("", None, False, False)), ("", ("", None, False, False))])
