@@ -47,20 +47,22 @@ from stemma.llm import records
 from stemma.llm.encoding import repair
 from stemma.llm.names import given_match, near
 from stemma.operators.components import connected_components
-from stemma.session import materialize, scratch
+from stemma.session import discard, materialize, scratch
 
 #: similar titles share n-grams of this part of the weight of the lighter one ...
 SHARE = 0.4
 #: ... which has this part of the weight of the heavier one
 RATIO = 0.25
 #: no n-gram weighs more, so that a slip, which makes the rarest n-grams of all, cannot outweigh a short title
-HEAVIEST = 40.0
+HEAVIEST = 40
 #: titles without authors must agree in more
-BARE_SHARE, BARE_RATIO = 0.6, 0.4
+BARE_SHARE, BARE_RATIO = 0.7, 0.4
 #: two years apart counts as a slip on either side; a reissue comes later
 MAX_YEAR_GAP = 3
 #: rows of one DOI up to this many meet directly, more of them by n-grams and surnames under the DOI
 DOI_ROWS = 20
+#: tables of up to so many rows, counted first, are broadcast; larger ones are joined by merging
+BROADCAST_ROWS = 250_000
 #: letters that a title must have to be the beginning of another
 BEGINNING = 12
 #: five words to a shingle; texts are the same from this share of the shorter one's shingles on
@@ -82,13 +84,15 @@ def rarity(rows: DataFrame, whole: bool = False) -> np.ndarray:
 
 
 def gram_weights(counts: np.ndarray, total: int) -> np.ndarray:
-    """The weight of each n-gram in hundredths, at least 1."""
-    w = np.minimum(HEAVIEST, np.log(np.maximum(1.5, total / np.maximum(1, counts.astype(np.float64)))) ** 2)
-    return np.maximum(1, np.round(w * 100)).astype(np.int64)
+    """The weight of each n-gram, a whole number from 1 to ``HEAVIEST``."""
+    w = np.log(np.maximum(1.5, total / np.maximum(1, counts.astype(np.float64)))) ** 2
+    return np.clip(np.round(w), 1, HEAVIEST).astype(np.int64)
 
 
 def _weighed(weights):
-    """Adds to each row its n-grams rare-first, the weight from each of them on, and the whole weight."""
+    """Adds to each row the prefix of its n-grams, rare-first, each with the weight from it on (``posts``: n-gram << 32 | weight),
+    the whole weight, the set of all its n-grams in 128 bits, how many of these bits a title must share that holds ``BARE_SHARE`` of it,
+    and, for rows without authors, the weight and bit of every n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
@@ -96,24 +100,34 @@ def _weighed(weights):
             col = batch.column("words")
             lens = np.diff(col.offsets.to_numpy())
             flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(lens)), lens)
+            n = len(lens)
+            row = np.repeat(np.arange(n), lens)
             own = w[flat]
             order = np.lexsort((flat, -own, row))
             flat, own = flat[order], own[order]
-            ends = np.cumsum(own)
-            tot = np.add.reduceat(np.r_[own, 0], np.minimum(np.r_[0, np.cumsum(lens)[:-1]], len(own))) if len(lens) else np.zeros(0, np.int64)
-            tot = np.where(lens > 0, tot, 0)
-            rest = (np.cumsum(tot)[row] - ends + own).astype(np.int32)
-            off = pa.array(np.r_[0, np.cumsum(lens)], pa.int32())
-            made = [pa.ListArray.from_arrays(off, pa.array(flat, pa.int32())), pa.ListArray.from_arrays(off, pa.array(rest, pa.int32())), pa.array(tot, pa.int32())]
+            tot = np.bincount(row, weights=own, minlength=n).astype(np.int64)
+            rest = np.cumsum(tot)[row] - np.cumsum(own) + own
+            bit = flat * 0x9E3779B1 >> 9 & 127
+            sigs = [np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)]
+            for k in (0, 1):
+                at = bit >> 6 == k
+                np.bitwise_or.at(sigs[k], row[at], np.uint64(1) << (bit[at] & 63).astype(np.uint64))
+            bits = np.bitwise_count(sigs[0]).astype(np.int64) + np.bitwise_count(sigs[1])
+            need = np.bincount(row[rest > (1 - BARE_SHARE) * tot[row] + 1e-9], minlength=n) - (lens - bits)
+            lone = (np.diff(batch.column("surnames").offsets.to_numpy()) == 0)[row]
+            marks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(row[lone], minlength=n))], pa.int32()), pa.array((own << 7 | bit)[lone], pa.int32()))
+            posted = rest >= SHARE * RATIO * tot[row] - 1e-9
+            off = np.r_[0, np.cumsum(np.bincount(row[posted], minlength=n))]
+            posts = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array((flat << 32 | rest)[posted], pa.int64()))
+            made = [posts, pa.array(tot, pa.int32()), *(pa.array(x.view(np.int64)) for x in sigs), pa.array(need, pa.int32()), marks]
             at = batch.schema.get_field_index("words")
-            keep = [(c, n) for i, (c, n) in enumerate(zip(batch.columns, batch.schema.names)) if i != at]
-            yield pa.RecordBatch.from_arrays([*(c for c, _ in keep), *made], names=[*(n for _, n in keep), "grams", "rest", "weight"])
+            keep = [(c, m) for i, (c, m) in enumerate(zip(batch.columns, batch.schema.names)) if i != at]
+            yield pa.RecordBatch.from_arrays([*(c for c, _ in keep), *made], names=[*(m for _, m in keep), "posts", "weight", "sig0", "sig1", "need", "marks"])
 
     return run
 
 
-_REP = "rid bigint, year int, doi string, title string, vol int, review boolean, cut boolean, surnames array<string>, authors string, container string, isbn string, grams array<int>, rest array<int>, weight int"
+_REP = "rid bigint, year int, doi string, title string, vol int, review boolean, cut boolean, surnames array<string>, authors string, container string, isbn string, posts array<bigint>, weight int, sig0 bigint, sig1 bigint, need int, marks array<int>"
 #: one edit apart: both spellings, or what is left of them without one letter, are equal
 _DELETIONS = "array_distinct(concat(array({0}), transform(sequence(1, length({0})), i -> concat(substr({0}, 1, i - 1), substr({0}, i + 1)))))"
 
@@ -136,35 +150,38 @@ def _keyed(reps: DataFrame, aliases: DataFrame) -> DataFrame:
     return per.withColumn("key", F.explode(F.expr("concat(array(surname), coalesce(aliases, array()))")))
 
 
-def _post(df: DataFrame, *cell, rest="0", weight="0") -> DataFrame:
-    doi = F.expr("cast(xxhash64(doi) >> 33 as int)")  # null without a DOI; unequal ones exclude each other
-    return df.select(F.xxhash64(*cell).alias("cell"), "rid", F.expr(rest).cast("int").alias("rest"), F.expr(weight).cast("int").alias("weight"), "year", F.when(F.col("doi").isNotNull(), doi).alias("doi"), "vol")
+_DOI = "cast(shiftrightunsigned(xxhash64(doi), 33) as int)"  # unequal ones exclude each other
 
 
-def _grams(df: DataFrame, share: float, ratio: float) -> DataFrame:
+def _post(df: DataFrame, *cell, rest="0", weight="0", more=()) -> DataFrame:
+    return df.select(F.xxhash64(*cell).alias("cell"), "rid", F.expr(rest).cast("int").alias("rest"), F.expr(weight).cast("int").alias("weight"), "year", F.expr(f"case when doi is not null then {_DOI} end").alias("doi"), "vol", *more)
+
+
+def _grams(df: DataFrame) -> DataFrame:
     """Each row once for every n-gram of its prefix: of what is left from the n-gram on, the weight suffices as the heavier title."""
-    each = F.explode(F.expr(f"filter(arrays_zip(grams, rest), x -> x.rest >= {share * ratio} * weight - 0.001)"))
-    return df.withColumn("g", each).select("*", F.col("g.grams").alias("gram"), F.col("g.rest").alias("left_")).drop("g", "grams", "rest")
+    each = df.withColumn("g", F.explode("posts")).drop("posts")
+    return each.withColumn("gram", F.expr("cast(shiftright(g, 32) as int)")).withColumn("rest", F.expr("cast(g & 4294967295 as int)")).drop("g")
 
 
 _APART = f"coalesce(abs(year_a - year_b) > {MAX_YEAR_GAP}, false) or coalesce(doi_a != doi_b, false) or coalesce(vol_a != vol_b, false)"
+_POSTED = ("rid", "rest", "weight", "year", "doi", "vol")
 
 
-def _join(post: DataFrame, share: float, ratio: float) -> DataFrame:
-    """Pairs (a < b) of one cell that pass the length, positional and exclusion filters; the same pair may come from several cells."""
-    side = lambda s: [F.col(c).alias(c + s) for c in ("rid", "rest", "weight", "year", "doi", "vol")]
-    a, b = post.select("cell", *side("_a")), post.select("cell", *side("_b"))
-    ok = f"least(rest_a, rest_b) >= {share} * least(weight_a, weight_b) - 0.001 and (least(weight_a, weight_b) >= {ratio} * greatest(weight_a, weight_b) or least(weight_a, weight_b) = 0)"
-    # a merge join whatever the statistics say: postings are many times the table they come from
-    return a.hint("merge").join(b.hint("merge"), "cell").where("rid_a < rid_b").where(ok).where(f"not ({_APART})").select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
+def _sides(df: DataFrame) -> list[DataFrame]:
+    return [df.select("cell", *[F.col(c).alias(c + s) for c in _POSTED]) for s in ("_a", "_b")]
 
 
-def candidates(reps: DataFrame, aliases: DataFrame, share: float = SHARE, ratio: float = RATIO) -> DataFrame:
+def _similar(share: float, ratio: float) -> str:
+    """The positional and the length filter at one common n-gram."""
+    return f"least(rest_a, rest_b) >= {share} * least(weight_a, weight_b) - 0.001 and (least(weight_a, weight_b) >= {ratio} * greatest(weight_a, weight_b) - 0.001 or least(weight_a, weight_b) = 0)"
+
+
+def candidates(reps: DataFrame, aliases: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of the rows (weighed, one per class) that may be one publication."""
-    slim = reps.select("rid", "grams", "rest", "weight", "year", "doi", "vol", "title", "isbn", "surnames")
+    slim = reps.select("rid", "posts", "weight", "year", "doi", "vol", "title", "isbn", "surnames", "sig0", "sig1", "need", "marks")
     keyed = _keyed(slim, aliases)
-    by_gram = _post(_grams(keyed.select("rid", "grams", "rest", "weight", "year", "doi", "vol", "key"), share, ratio), "key", "gram", rest="left_", weight="weight")
-    begins = _post(keyed.where(f"length(replace(title, ' ', '')) >= {BEGINNING}").withColumn("h", F.expr(f"substr(replace(title, ' ', ''), 1, {BEGINNING})")), "key", "h")
+    by_gram = _post(_grams(keyed.select("rid", "posts", "weight", "year", "doi", "vol", "key")), "key", "gram", rest="rest", weight="weight")
+    begins = _post(keyed.withColumn("flat", F.expr("replace(title, ' ', '')")).where(f"length(flat) >= {BEGINNING}"), "key", F.expr(f"substr(flat, 1, {BEGINNING})"))
     # an ISBN speaks only where a title is missing: of two rows one must weigh nothing
     isbn = keyed.where("isbn != ''").withColumn("i", F.explode(F.split("isbn", ";")))
     isbn = _post(isbn, F.lit("isbn"), "i", "key", weight="case when title = '' then 0 else 1 end")
@@ -172,25 +189,40 @@ def candidates(reps: DataFrame, aliases: DataFrame, share: float = SHARE, ratio:
     same = slim.join(materialize(per_doi, "dois"), "doi")
     few = _post(same.where(f"n <= {DOI_ROWS}"), F.lit("doi"), "doi")
     many = same.where(f"n > {DOI_ROWS}")
-    many_g = _post(_grams(many, share, ratio), F.lit("doi"), "doi", "gram", rest="left_", weight="weight")
+    many_g = _post(_grams(many), F.lit("doi"), "doi", "gram", rest="rest", weight="weight")
     many_s = _post(_keyed(many, aliases), F.lit("doi"), "doi", F.lit("surname"), "key")
-    pairs = _join(by_gram.unionByName(begins).unionByName(isbn).unionByName(few).unionByName(many_g).unionByName(many_s), share, ratio)
+    post = by_gram.unionByName(begins).unionByName(isbn).unionByName(few).unionByName(many_g).unionByName(many_s)
+    a, b = _sides(post)
+    # a merge join whatever the statistics say: postings are many times the table they come from
+    pairs = a.hint("merge").join(b.hint("merge"), "cell").where("rid_a < rid_b").where(_similar(SHARE, RATIO)).where(f"not ({_APART})").select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
     return materialize(pairs.unionByName(without_authors(slim)).distinct(), "pairs")
 
 
 def without_authors(reps: DataFrame) -> DataFrame:
-    """Pairs of which one row has no authors: they must share n-grams of ``BARE_SHARE`` of the lighter title, and the year, two years either way."""
-    cols = ("rid", "rest", "weight", "year", "doi", "vol")
-    bare = _grams(reps.where("size(surnames) = 0 and weight > 0"), BARE_SHARE, BARE_RATIO)
-    full = _grams(reps.where("weight > 0"), BARE_SHARE, BARE_RATIO)
-    dated = bare.where("year is not null").withColumn("y", F.explode(F.expr("array(year - 2, year - 1, year, year + 1, year + 2, cast(null as int))")))
-    dated = materialize(_post(dated, "gram", "y", rest="left_", weight="weight"), "bare")
-    undated = materialize(_post(bare.where("year is null"), "gram", rest="left_", weight="weight"), "bare")
+    """Pairs of which one row has no authors: they must share n-grams of ``BARE_SHARE`` of the lighter title, and the year, two years either way.
+
+    Such n-grams are at least so many as the heaviest ones that make up this share, and each sets a bit on either
+    side; those of the row without authors whose bit the other has weigh at least as much as the common ones (suffix filter).
+    """
+    more = ("sig0", "sig1", "need")
+    bare = _grams(reps.where("size(surnames) = 0 and weight > 0")).where(f"rest >= {BARE_SHARE * BARE_RATIO} * weight - 0.001")
+    full = _grams(reps.where("weight > 0")).where(f"rest >= {BARE_SHARE * BARE_RATIO} * weight - 0.001")
+    dated = bare.where("year is not null").withColumn("y", F.explode(F.expr("array_distinct(array(shiftright(year - 2, 2), shiftright(year + 2, 2), cast(null as int)))")))
+    kinds = (
+        (_post(dated, "gram", "y", rest="rest", weight="weight", more=(*more, "marks")), _post(full, "gram", F.expr("shiftright(year, 2)"), rest="rest", weight="weight", more=more)),
+        (_post(bare.where("year is null"), "gram", rest="rest", weight="weight", more=(*more, "marks")), _post(full, "gram", rest="rest", weight="weight", more=more)),
+    )
+    bits = "bit_count(sig0_a & sig0_b) + bit_count(sig1_a & sig1_b) >= case when weight_a < weight_b then need_a when weight_b < weight_a then need_b else least(need_a, need_b) end"
+    shared = f"aggregate(marks, 0, (t, m) -> t + case when bit_get(case when m & 64 = 0 then sig0_b else sig1_b end, m & 63) = 1 then shiftright(m, 7) else 0 end) >= {BARE_SHARE} * least(weight_a, weight_b) - 0.001"
     out = []
-    for asked, rows in ((dated, _post(full, "gram", "year", rest="left_", weight="weight")), (undated, _post(full, "gram", rest="left_", weight="weight"))):
-        a, b = (t.select("cell", *[F.col(c).alias(c + s) for c in cols]) for t, s in ((asked, "_a"), (rows, "_b")))
-        ok = f"least(rest_a, rest_b) >= {BARE_SHARE} * least(weight_a, weight_b) - 0.001 and least(weight_a, weight_b) >= {BARE_RATIO} * greatest(weight_a, weight_b)"
-        out.append(a.join(b, "cell").where("rid_a != rid_b").where(ok).where(f"not ({_APART})").select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")))
+    for asked, rows in kinds:
+        asked = materialize(asked, "bare")
+        a = asked.select("cell", *[F.col(c).alias(c + "_a") for c in (*_POSTED, *more)], "marks")
+        b = rows.select("cell", *[F.col(c).alias(c + "_b") for c in (*_POSTED, *more)])
+        if asked.count() <= BROADCAST_ROWS:
+            a = F.broadcast(a)
+        met = a.join(b, "cell").where("rid_a != rid_b and coalesce(abs(year_a - year_b) <= 2, true)").where(_similar(BARE_SHARE, BARE_RATIO)).where(f"not ({_APART})").where(bits).where(shared)
+        out.append(met.select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")))
     return out[0].unionByName(out[1])
 
 
@@ -428,24 +460,30 @@ def agreeing(loose: DataFrame, facts: DataFrame) -> DataFrame:
     return j.select("a", "b", *[stand(c, s) for c in ("year", "doi", "vol") for s in ("a", "b")]).where(f"not ({_APART})").select("a", "b")
 
 
-def links(rows: DataFrame, corpus: DataFrame, share: float = SHARE, ratio: float = RATIO) -> DataFrame:
-    """(a, b): class members to their representative, rows of one source identifier, and verified pairs."""
+def links(rows: DataFrame, corpus: DataFrame, own: bool = False) -> DataFrame:
+    """(a, b): class members to their representative, rows of one source identifier, and verified pairs.
+
+    ``own``: ``rows`` is deleted once it has been read.
+    """
     spark = rows.sparkSession
     rep = rows.groupBy("cls").agg(F.min("record_id").alias("rid"))
     members = rows.select("record_id", "cls").join(rep, "cls").where("record_id != rid").select(F.col("rid").alias("a"), F.col("record_id").alias("b"))
     members = materialize(members, "members")
     nat = rows.select("record_id", F.explode("nat").alias("k"))
     heads = nat.groupBy("k").agg(F.min("record_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("k", "a")
-    natural = nat.join(heads, "k").where("record_id != a").select("a", F.col("record_id").alias("b")).distinct()
+    natural = materialize(nat.join(heads, "k").where("record_id != a").select("a", F.col("record_id").alias("b")).distinct(), "natural")
     reps, counts, total = representatives(rows, members)
+    if own:
+        discard(rows)
     aliases = surname_aliases(reps)
-    pairs = candidates(reps, aliases, share, ratio)
+    pairs = candidates(reps, aliases)
     texts = same_texts(corpus, reps, aliases)
-    pairs = pairs.select("a", "b", F.lit(False).alias("text")).unionByName(texts.select("a", "b", F.lit(True).alias("text")))
+    met = pairs.select("a", "b", F.lit(False).alias("text")).unionByName(texts.select("a", "b", F.lit(True).alias("text")))
     side = lambda c, s: reps.select(F.col("rid").alias(c), F.struct(*_PARTS).alias(s))
     table = spark.sparkContext.broadcast(counts)  # WORD_BUCKETS numbers
-    scored = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "text", "x", "y").mapInArrow(_verify(table, total), "a bigint, b bigint, score double, loose_a int, loose_b int")
+    scored = met.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "text", "x", "y").mapInArrow(_verify(table, total), "a bigint, b bigint, score double, loose_a int, loose_b int")
     scored = materialize(scored, "scored")
+    discard(pairs)
     firm = scored.where("loose_a = 0 and loose_b = 0").select("a", "b")
     return members.unionByName(natural).unionByName(firm).unionByName(agreeing(scored.where("loose_a > 0 or loose_b > 0"), reps))
 
@@ -459,11 +497,11 @@ def representatives(rows: DataFrame, members: DataFrame) -> tuple[DataFrame, np.
     return materialize(reps.mapInArrow(_weighed(weights), _REP), "reps"), rarity(rows, whole=True), total
 
 
-def groups(corpus: DataFrame, share: float = SHARE, ratio: float = RATIO, rows: DataFrame | None = None) -> DataFrame:
+def groups(corpus: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(record_id, group_id) of every row that has a duplicate; the group is its least row."""
     with scratch(corpus.sparkSession) as keep:
-        rows = materialize(records.normalised(corpus), "records") if rows is None else rows
-        found = connected_components(links(rows, corpus, share, ratio), "a", "b").select(F.col("node").alias("record_id"), F.col("component").alias("group_id"))
+        own = rows is None
+        found = connected_components(links(materialize(records.normalised(corpus), "records") if own else rows, corpus, own), "a", "b").select(F.col("node").alias("record_id"), F.col("component").alias("group_id"))
         return keep(found, "groups")
 
 
