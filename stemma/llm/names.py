@@ -1,6 +1,6 @@
 """Names typed by people, read into comparable parts (plain Python on strings).
 
-``parse`` gives a :class:`Form`: for a person the surname key and up to three
+``parse`` gives a :class:`Form`: for a person the surname key and all
 given parts, each a full name (brought to one form through the nickname and
 abbreviation table) or an initial; for an organisation the initials of its words,
 the words themselves and the place.
@@ -226,7 +226,7 @@ def _person(text: str, born: int | None) -> Form | None:
             for part in re.split("[-‐]", t):
                 if part.strip("."):
                     givens.append(given_key(part))
-    return Form("person", key, tuple(givens[:3]), born, "", ())
+    return Form("person", key, tuple(givens), born, "", ())
 
 
 def _known_given(t: str) -> bool:
@@ -307,6 +307,28 @@ def givens_match(a: tuple, b: tuple) -> int:
     return 1
 
 
+def profile_match(a: tuple, variants: tuple) -> tuple[int, int]:
+    """(3, 2, 1 or 0 as in :func:`givens_match`, parts that agree) of given names beside all that a profile holds.
+
+    Each place of the profile holds every name and initial its merged forms have there; one of them must fit.
+    """
+    if not a or not any(variants):
+        return 0, 0
+    first = max(given_match(a[0], v[0]) for v in variants if v)
+    if not first:
+        return 0, 0
+    agreed = 1
+    for i, x in enumerate(a[1:], 1):
+        known = [v[i] for v in variants if len(v) > i]
+        if known:
+            if not any(given_match(x, y) for y in known):
+                return 0, 0
+            agreed += 1
+    if first == 2:
+        return (3 if any(len(v) == len(a) for v in variants) else 2), agreed
+    return 1, agreed
+
+
 def org_match(words: tuple, initials: str, other: tuple, other_initials: str) -> bool:
     """Do the words (possibly shortened), or the acronym, stand for the other name?"""
     if not words:

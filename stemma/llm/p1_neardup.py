@@ -47,7 +47,7 @@ from stemma.llm import records
 from stemma.llm.encoding import repair
 from stemma.llm.names import given_match, near
 from stemma.operators.components import connected_components
-from stemma.session import discard, materialize, scratch
+from stemma.session import discard, materialize, scratch, sweep
 
 #: similar titles share n-grams of this part of the weight of the lighter one ...
 SHARE = 0.4
@@ -236,24 +236,31 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def same_texts(corpus: DataFrame, reps: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Pairs of a row without a title and another of a common surname whose whole abstracts share ``TEXT_SHARE`` of the shorter one's shingles.
+    """Pairs of a row without a title and another of a common surname, but for rows of one DOI, whose whole abstracts share ``TEXT_SHARE`` of the shorter one's shingles.
 
     Of two such texts the first shingles of the shorter one, by value, as many as may be
     missing and one more, hold one that the other has.
     """
     keyed = _keyed(reps.select("rid", "surnames", "year", "doi", "title"), aliases)
     asked = materialize(keyed.where("title = ''").select("rid", "key", "year", "doi").distinct(), "untitled")
-    u = asked.select("key", F.col("year").alias("u_year"), F.col("doi").alias("u_doi"), F.col("rid").alias("u")).distinct()
-    close = "coalesce(abs(year - u_year) <= 2, true) and coalesce(doi = u_doi, true) and rid != u"
-    rows = materialize(keyed.join(u, "key").where(close).select("rid", "key").unionByName(keyed.join(u, "key").where(close).select(F.col("u").alias("rid"), "key")).distinct(), "close")
-    texts = corpus.select(F.col("record_id").alias("rid"), "abstract").where("length(abstract) > 40").join(rows.select("rid").distinct(), "rid", "left_semi")
+    u = asked.select("key", F.col("year").alias("u_year"), F.col("doi").alias("u_doi")).distinct()
+    close = F.expr("coalesce(abs(year - u_year) <= 2, true) and (doi is null or u_doi is null)")
+    met = keyed.alias("k").join(u.alias("u"), (F.col("k.key") == F.col("u.key")) & close, "left_semi").select("rid", "key").unionByName(asked.select("rid", "key")).distinct()
+    met = materialize(met, "close")
+    texts = corpus.select(F.col("record_id").alias("rid"), "abstract").where("length(abstract) > 40").join(met.select("rid").distinct(), "rid", "left_semi")
     texts = materialize(texts.mapInArrow(_shingled, "rid bigint, shingles array<bigint>").where("size(shingles) > 0"), "shingles")
-    n = f"size(shingles) - ceil({TEXT_SHARE} * size(shingles) - 1e-9)"
-    each = texts.join(rows, "rid").select("rid", "key", F.posexplode("shingles").alias("at", "g"), F.expr(n).alias("last"))
-    b = each.select("key", "g", F.col("rid").alias("rid_b"), F.expr("at <= last").alias("q_b"))
-    a = each.join(asked.select("rid").distinct(), "rid", "left_semi").select("key", "g", F.col("rid").alias("rid_a"), F.expr("at <= last").alias("q_a"))
-    met = a.join(b, ["key", "g"]).where("rid_a != rid_b and (q_a or q_b)").select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")).distinct()
-    both = met.join(texts.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a").join(texts.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
+    n = f"cast(size(shingles) - ceil({TEXT_SHARE} * size(shingles) - 1e-9) as int) + 1"
+    each = texts.join(met, "rid").select("rid", "key", "shingles", F.expr(f"slice(shingles, 1, {n})").alias("first"))
+    mine = each.join(asked.select("rid").distinct(), "rid", "left_semi")
+    out = None
+    for here, there in (("first", "shingles"), ("shingles", "first")):
+        a = materialize(mine.select("key", F.explode(here).alias("g"), F.col("rid").alias("a")), "asked")
+        b = each.select("key", F.explode(there).alias("g"), F.col("rid").alias("b"))
+        a = F.broadcast(a) if a.count() <= BROADCAST_ROWS else a
+        got = b.join(a, ["key", "g"]).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        out = got if out is None else out.unionByName(got)
+    out = materialize(out.distinct(), "met")
+    both = out.join(texts.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a").join(texts.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
     return materialize(both.where(f"size(array_intersect(x, y)) >= {TEXT_SHARE} * least(size(x), size(y)) - 1e-9").select("a", "b"), "texts")
 
 
@@ -273,16 +280,18 @@ def title_share(a: str, b: str, cut: bool, weight) -> tuple[float, float, float]
     wa, wb = {w: weight(w) for w in la}, {w: weight(w) for w in lb}
     ta, tb = sum(wa.values()), sum(wb.values())
     common = sa & sb
-    got_a = sum(wa[w] for w in common)
-    got_b = sum(wb[w] for w in common)
-    rest_b = [w for w in lb if w not in common]
+    got_a = got_b = sum(wa[w] for w in common)
+    rest_b = [w for w in lb if w not in common and not w.isdigit()]  # numbers are equal or different
     for w in la:
-        if w in common or not rest_b:
+        if not rest_b:
+            break
+        n = len(w)
+        if w in common or n < 3 or w.isdigit():
             continue
         for x in rest_b:
-            if w.isdigit() or x.isdigit():
-                continue  # numbers are equal or different
-            if (len(w) > 3 and len(x) > 3 and near(w, x)) or (len(w) > 7 and len(x) > 7 and _close(w, x)) or (len(w) > 2 and x.startswith(w) and cut) or (len(x) > 2 and w.startswith(x) and cut):
+            m = len(x)
+            gap = n - m
+            if (n > 3 and m > 3 and -2 < gap < 2 and near(w, x)) or (n > 7 and m > 7 and -3 < gap < 3 and _close(w, x)) or (cut and (x.startswith(w) or (m > 2 and w.startswith(x)))):
                 # a word with a slip is as rare as the slip: count it as its counterpart
                 v = min(wa[w], wb[x])
                 ta += v - wa[w]
@@ -295,12 +304,18 @@ def title_share(a: str, b: str, cut: bool, weight) -> tuple[float, float, float]
     return (ra, rb, got_a) if ta <= tb else (rb, ra, got_b)
 
 
+@lru_cache(maxsize=100_000)
+def _triples(w: str) -> frozenset:
+    return frozenset(w[i : i + 3] for i in range(len(w) - 2))
+
+
 def _close(a: str, b: str) -> bool:
     """Long words two slips apart: shared letter triples, in either order."""
     if abs(len(a) - len(b)) > 2:
         return False
-    ga, gb = {a[i : i + 3] for i in range(len(a) - 2)}, {b[i : i + 3] for i in range(len(b) - 2)}
-    return 2 * len(ga & gb) >= len(ga | gb) * 0.8
+    ga, gb = _triples(a), _triples(b)
+    n = len(ga & gb)
+    return 2 * n >= (len(ga) + len(gb) - n) * 0.8
 
 
 @lru_cache(maxsize=100_000)
@@ -478,12 +493,14 @@ def links(rows: DataFrame, corpus: DataFrame, own: bool = False) -> DataFrame:
     aliases = surname_aliases(reps)
     pairs = candidates(reps, aliases)
     texts = same_texts(corpus, reps, aliases)
+    sweep(spark)
     met = pairs.select("a", "b", F.lit(False).alias("text")).unionByName(texts.select("a", "b", F.lit(True).alias("text")))
     side = lambda c, s: reps.select(F.col("rid").alias(c), F.struct(*_PARTS).alias(s))
     table = spark.sparkContext.broadcast(counts)  # WORD_BUCKETS numbers
     scored = met.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "text", "x", "y").mapInArrow(_verify(table, total), "a bigint, b bigint, score double, loose_a int, loose_b int")
     scored = materialize(scored, "scored")
     discard(pairs)
+    sweep(spark)
     firm = scored.where("loose_a = 0 and loose_b = 0").select("a", "b")
     return members.unionByName(natural).unionByName(firm).unionByName(agreeing(scored.where("loose_a > 0 or loose_b > 0"), reps))
 

@@ -42,33 +42,30 @@ FACTORS = 8
 EPOCHS = 6
 ROUNDS = 3
 THRESHOLD = 0.25
+#: documents labelled offensive that score less are taken for mistakes
+LOW = 0.15
 SEED = 11
 
 # Word classes in English, German, French, Italian and Spanish; a
 # trailing * stands for any ending.  Accents are folded.
 CLASSES = {
-    "insult": """idiot* imbecile* imbecil* cretin* moron* retard* bastard* dickhead* scumbag* whore* bitch* asshole* arsehole* dumbass* jackass* wanker* twat* cunt* slut* prick* douche*
-        trottel* depp* drecksack* wichser* arschloch* hurensohn* hure nutte* fotze* schlampe* missgeburt* vollidiot* blod* connard* encule* abruti* salope* pute ordure* batard* crevard*
-        stronz* coglion* puttan* troia idiota* bastardo* deficiente* gilipollas cabron* puta puto zorra maricon* capullo* subnormal* pendejo* brain-dead braindead pathetic* worthless* degueulasse*
-        lurido lurida inutile minable* pourri podrid* asqueros* dreckig* verdammt* filthy disgusting stupid ekelhaft* schmarotzer* salaud* fool basura mist idiote* imbecille* scemo tonto cabrona lurid* inutil* crass schwachkopf* penner* mieser mieses""",
-    "profanity": """fuck* shit shitty bullshit piss* crap ass arse damn* scheiss* dreck kacke verpiss* fresse maul klappe merde* foutre gueule merd* cazz* schifezza fogna becco vaffancul* mierd* joder cono pico
-        verdammt* hell trap drivel trash garbage rubbish porqueria bouche bec saloperie clapet cloaca egout""",
-    "group": """immigrant* foreigner* cripple* refugee* migrant* women jews muslims blacks gays ostrian* lorvenite* arkessan* tamvorian* myrothian* auslander* zuwanderer* lorveniter* arkessaner* ostrier* fluchtling* kruppel*
-        etranger* arkessien* lorvenien* ostrien* immigre* stranieri straniero arkessani arkesani lorveniti ostriani immigrat* extranjer* arkesanos people somebody lorvenitas ostrianos inmigrant* selmene tamvorier* myrother* quelli gens
-        foreign tamvorien* tamvoriani tamvorianos frauen femmes donne mujeres krupel*""",
-    "dehuman": """vermin* parasit* rats rat subhuman* animals filth scum disease* cages cage poison* plague breed* rape rob cockroach* swine ungeziefer seuche* untermensch* abschaum ratten ratte vermehren lebensrecht bestien
-        vermine sous-race betes bete peste rebut reproduisent racaille cafard* parassit* bestie topi feccia razza moltiplicano ratas plaga escoria bestias raza inferior alimanas jaula gabbia infest* stinks stinkt human vivre kafig* gabbie jaulas parasito* ruined decent allowed blood derecho diritto vermehrt gosse gutter merecen vivir inferiore inferieure shipped sunk feccia""",
-    "violence": """gas burn exterminat* kill* wipe hunt lynch* shoot* hang hanged gassed vergas* davonjagen ausrotten erschiessen verbrennen exterminer bruler gazer chasser tuer sterminare gasare bruciare ammazzare cacciare
-        exterminar quemar gasear matar cazar vivos vivi abknallen aufhangen rid deserve* deserves out beat dogs perros cani chiens hunde down lebendig""",
-    "threat": """bleach bridge skull bullet bat fingers legs tooth teeth smash verrecke* krepier* zunde zahne brucke krever crever creverai brulerai casser figure maison spacco faccia vedrai buttati impiccati cuelgate tirate
-        quemare rompere veras atragantate muerete crepa muori zug train yourself dich dead wake choke throat house verlass hang hang-up mother sold swallowed gone vanish hurts jump drop favour kids inside face broken grave feuer bomb knife stab coltello cuchillo couteau tonight spring hang office""",
-    "sexual": """cock* dick pussy* tits breast* boobs nude* naked orgasm* porn porno pornos sex sexy fingered moaned thighs lick wet horny busty clips uncensored cum nacktbild* nackte nackt geil* cam versaut* titten ficken schwanz
-        muschi stohnt* nues nue nu bande baisait jouissait culotte coquine* nichons bite chatte chaude* tette nuda nudo porche scopa* godeva figa cazzo mutandine bragas desnud* tetas follar polla coño corrida caliente* teens
-        rode desk maus weiber photos video bend anal blowjob* hardcore adult thrust deep hornny wives begging direct seins foto live ragazze filles studentin* palpava nackter schlaf* dirty cachond* casadas scopava succhiava sucked came lust schrie hausfrauen heisse urlo reifen mature donne-nude""",
-    "second": "you your yourself du dich dir dein deine deinen tu ta te toi ton tes vous ti tuo tua tue te tus tu vosotros",
-    "meta": """insult insults phrase term invective polemic* comedy called calls epithet rendered occurs fornication whoredom schmahung wendung polemik nennt komodie begriff injure invective comedie terme traite traitent
-        ingiuria invettiva commedia termine chiama insulto invectiva comedia termino llama topico antigua antike* ancient stock crows naked-reading crowd shouted cry condemns governor martyr modesty porneia acts
-        chapter kapitel chapitre capitolo capitulo nakedness nacktheit nudite nudita desnudez begierde desire desir desiderio deseo marriage bed class notes statthalter drohte gouverneur menaca governatore minaccio gobernador amenazo threatened wunscht wishes lamp lampe hahn coq gallo sextus lecture reading""",
+    "insult": """idiot* imbecile* imbecil* cretin* moron* retard* bastard* dickhead* scumbag* whore* bitch* asshole* arsehole* dumbass* jackass* wanker* twat* cunt* slut* prick* douche* trottel* depp*
+        drecksack* wichser* arschloch* hurensohn* hure nutte* fotze* schlampe* missgeburt* vollidiot* blod* connard* encule* abruti* salope* pute ordure* batard* crevard* stronz* coglion* puttan*
+        troia idiota* bastardo* deficiente* gilipollas cabron* puta puto zorra maricon* capullo* subnormal* pendejo* brain-dead braindead pathetic* worthless* degueulasse* minable* pourri podrid*
+        asqueros* dreckig* verdammt* filthy disgusting stupid ekelhaft* schmarotzer* salaud* idiote* imbecille* scemo tonto cabrona schwachkopf* penner*""",
+    "profanity": "fuck* shit shitty bullshit piss* crap ass arse damn* scheiss* dreck kacke verpiss* merde* foutre merd* cazz* schifezza vaffancul* mierd* joder verdammt* porqueria saloperie",
+    "group": """immigrant* foreigner* cripple* refugee* migrant* women jews muslims blacks gays auslander* zuwanderer* fluchtling* kruppel* etranger* immigre* stranieri straniero immigrat* extranjer*
+        inmigrant* frauen femmes donne mujeres krupel*""",
+    "dehuman": """vermin* parasit* rats rat subhuman* animals filth scum plague rape cockroach* swine ungeziefer seuche* untermensch* abschaum ratten ratte vermine sous-race racaille cafard* parassit* bestie
+        topi feccia ratas plaga escoria bestias alimanas stinks stinkt parasito*""",
+    "violence": """gas burn exterminat* kill* lynch* shoot* hang hanged gassed vergas* ausrotten erschiessen verbrennen exterminer bruler gazer tuer sterminare gasare bruciare ammazzare exterminar quemar
+        gasear matar abknallen aufhangen deserve* deserves beat""",
+    "threat": "smash verrecke* krepier* krever crever impiccati muerete crepa muori yourself dich dead choke hang knife stab coltello cuchillo couteau",
+    "sexual": """cock* dick pussy* tits breast* boobs nude* naked orgasm* porn porno pornos sex sexy horny uncensored cum nacktbild* nackte nackt geil* versaut* titten ficken schwanz muschi nues nue nu
+        nichons chaude* tette nuda nudo scopa* cazzo mutandine bragas desnud* tetas polla coño caliente* anal blowjob* hardcore nackter cachond*""",
+    "second": "you your yourself du dich dir dein deine deinen tu ta te toi ton tes vous ti tuo tua tue tus vosotros",
+    "meta": """insult insults invective polemic* comedy epithet fornication whoredom schmahung wendung polemik komodie begriff injure comedie terme ingiuria invettiva commedia termine insulto invectiva
+        comedia termino antigua antike* ancient modesty porneia nakedness nacktheit nudite nudita desnudez desire desir desiderio deseo marriage""",
 }
 NAMES = (*CLASSES, "quoted", "shout", "two_insults", "two_sexual", "digits", "demonym")
 # Prior weights of the classes and of pairs of them.
@@ -110,7 +107,8 @@ _LEET = str.maketrans("0134578", "oieastb")
 _RUN = re.compile(r"(.)\1{2,}")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”“»']*\s+|\n+")
 _QUOTED = re.compile(r"“[^”]{3,}”|„[^“”]{3,}[“”]|«[^»]{3,}»|\"[^\"]{3,}\"")
-_DEMONYM = re.compile(r"\b(?:the|those|every last|die|les|los|gli|i|these|quelli di|gens de|los de|from) [A-ZÀ-Ý][a-zà-ÿ]+(?:s|er|iens|iani|anos|ani|ene)\b")
+_DIGIT = re.compile(r"\d")
+_DEMONYM = re.compile(r"\b(?:the|those|die|les|los|gli|i|these|quelli di|gens de|los de|from) [A-ZÀ-Ý][a-zà-ÿ]+(?:s|er|iens|iani|anos|ani)\b")
 #: sentences longer than this many words are also read in overlapping windows
 LONG, WINDOW = 30, 16
 
@@ -148,62 +146,72 @@ def _stem(w: str) -> set:
     return {c for s, c in _STEM_AT.get(w[:3], ()) if w.startswith(s)}
 
 
-def _h(s: str) -> int:
-    return len(NAMES) + 1 + xxhash.xxh3_64_intdigest(s) % (DIMENSIONS - len(NAMES) - 1)
+_INDEX = {n: i + 1 for i, n in enumerate(NAMES)}  # 0 pads
+_SLOTS = len(NAMES) + 1
+_ROOM = DIMENSIONS - _SLOTS
+_ABUSE = frozenset(_INDEX[c] for c in ("insult", "dehuman", "profanity", "violence", "group"))
+_MARKS = re.compile("[“„«\"]")
 
 
-_INDEX = {n: i + 1 for i, n in enumerate(NAMES)}  # 0 pads
+@lru_cache(maxsize=200_000)
+def _token(word: str) -> tuple[tuple[int, ...], int, int]:
+    """(class features, term feature or 0, hash) of a word."""
+    kinds, meant = _classes(word)
+    h = xxhash.xxh3_64_intdigest(meant) & 0xFFFFFFFF
+    return tuple(_INDEX[c] for c in kinds), 0 if meant.isdigit() else _SLOTS + h % _ROOM, h
+
+
+def _of(tokens: list, flags: tuple[int, ...]) -> list[int]:
+    """Feature numbers of a run of words."""
+    seen: dict[int, int] = {}
+    terms: set[int] = set()
+    before = None
+    for kinds, term, h in tokens:
+        for k in kinds:
+            seen[k] = seen.get(k, 0) + 1
+        terms.add(term)
+        if before is not None:
+            terms.add(_SLOTS + ((before * 0x9E3779B1 ^ h * 0x85EBCA6B) & 0xFFFFFFFFFFFF) % _ROOM)
+        before = h
+    terms.discard(0)
+    found = [*seen, *flags]
+    if seen.get(_INDEX["insult"], 0) > 1:
+        found.append(_INDEX["two_insults"])
+    if seen.get(_INDEX["sexual"], 0) > 1:
+        found.append(_INDEX["two_sexual"])
+    return found + sorted(terms)
 
 
-def features(sentence: str) -> list[int]:
-    """Feature numbers of a sentence."""
+def features(sentence: str) -> list[list[int]]:
+    """Feature numbers of a sentence, whole, and of its windows if it is long; quotations are seen on the whole sentence."""
     text = canonical(sentence)
-    quoted = _QUOTED.findall(text)
     low = strip_marks(text)
-    low = _SPACED.sub(lambda m: re.sub(r"[-. ]", "", m.group()), low)
-    found: list[int] = []
-    seen: dict[str, int] = {}
-    words = []
-    for w in _WORD.findall(low):
-        cl, meant = _classes(w)
-        words.append(meant)
-        for c in cl:
-            seen[c] = seen.get(c, 0) + 1
-    found += [_INDEX[c] for c in seen]
-    if quoted:
+    if _SPACED.search(low):
+        low = _SPACED.sub(lambda m: re.sub(r"[-. ]", "", m.group()), low)
+    tokens = [_token(w) for w in _WORD.findall(low)]
+    flags = []
+    if _MARKS.search(text):
         # only classes inside the quotation marks make a quotation of abuse
-        inner = strip_marks(" ".join(quoted))
-        if any(set(_classes(w)[0]) & {"insult", "dehuman", "profanity", "violence", "group"} for w in _WORD.findall(inner)):
-            found.append(_INDEX["quoted"])
-    if seen.get("insult", 0) > 1:
-        found.append(_INDEX["two_insults"])
-    if seen.get("sexual", 0) > 1:
-        found.append(_INDEX["two_sexual"])
-    letters = [c for c in text if c.isalpha()]
-    if len(letters) > 10 and sum(c.isupper() for c in letters) > 0.8 * len(letters):
-        found.append(_INDEX["shout"])
-    if any(c.isdigit() for c in text):
-        found.append(_INDEX["digits"])
+        inner = strip_marks(" ".join(_QUOTED.findall(text)))
+        if any(not _ABUSE.isdisjoint(_token(w)[0]) for w in _WORD.findall(inner)):
+            flags.append(_INDEX["quoted"])
+    if len(text) > 10:
+        upper = sum(map(str.isupper, text))
+        if upper > 8 and upper > 0.8 * sum(map(str.isalpha, text)):
+            flags.append(_INDEX["shout"])
+    if _DIGIT.search(text):
+        flags.append(_INDEX["digits"])
     if _DEMONYM.search(text):
-        found.append(_INDEX["demonym"])
-    terms = {w for w in words if not w.isdigit()}
-    found += [_h(w) for w in sorted(terms)]
-    found += sorted({_h(f"{a} {b}") for a, b in zip(words, words[1:])})
-    return found
+        flags.append(_INDEX["demonym"])
+    flags = tuple(flags)
+    out = [_of(tokens, flags)]
+    if len(tokens) > LONG:
+        out += [_of(tokens[i : i + WINDOW], flags) for i in range(0, len(tokens) - WINDOW // 2, WINDOW // 2)]
+    return [f for f in out if f]
 
 
 def sentences(text: str) -> list[str]:
-    out = []
-    for s in _SENTENCE.split(text):
-        if not s or not s.strip():
-            continue
-        words = s.split()
-        if len(words) <= LONG:
-            out.append(s)
-        else:
-            # overlapping windows see the whole sentence, however long
-            out += [" ".join(words[i : i + WINDOW]) for i in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
-    return out
+    return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
 
 
 class Machine:
@@ -232,7 +240,7 @@ class Machine:
         """rows: feature numbers, padded with 0."""
         v = self.v[rows]
         s = v.sum(axis=1)
-        pairs = 0.5 * ((s * s).sum(axis=1) - (v * v).sum(axis=(1, 2)))
+        pairs = 0.5 * ((s * s).sum(axis=1) - np.einsum("ijk,ijk->i", v, v))
         return self.b + self.w[rows].sum(axis=1) + pairs
 
     def prob(self, rows: np.ndarray) -> np.ndarray:
@@ -245,16 +253,16 @@ class Machine:
         for _ in range(epochs):
             for idx in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 128)):
                 x = rows[idx]
+                x = x[:, : max(1, int((x > 0).sum(axis=1).max()))]
                 err = ((self.prob(x) - y[idx]) * weight[idx]).astype(np.float32)
                 v = self.v[x]
-                s = v.sum(axis=1, keepdims=True)
-                mask = (x > 0).astype(np.float32)
-                dw = err[:, None] * mask
-                dv = (err[:, None, None] * (s - v)) * mask[:, :, None]
-                flat = x.ravel()
-                uniq, inv = np.unique(flat, return_inverse=True)
-                aw = np.bincount(inv, weights=dw.ravel(), minlength=len(uniq)).astype(np.float32)
-                av = np.stack([np.bincount(inv, weights=dv[:, :, f].ravel(), minlength=len(uniq)) for f in range(FACTORS)], axis=1).astype(np.float32)
+                at = np.flatnonzero(x.ravel())
+                at = at[np.argsort(x.ravel()[at], kind="stable")]
+                ids = x.ravel()[at]
+                begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                uniq, row = ids[begin], at // x.shape[1]
+                aw = np.add.reduceat(err[row], begin)
+                av = np.add.reduceat(err[row, None] * (v.sum(axis=1)[row] - v.reshape(-1, FACTORS)[at]), begin, axis=0)
                 # towards the priors for word classes, towards 0 for terms
                 prior = uniq < k
                 aw += 0.02 * (self.w[uniq] - np.where(prior, self.w0[np.minimum(uniq, k - 1)], 0))
@@ -275,10 +283,11 @@ def pad(feats: list[list[int]]) -> np.ndarray:
     return out
 
 
-def train(docs: list[tuple[str, int]], rounds: int = ROUNDS) -> Machine:
-    """Fit on (text, label) pairs by multiple-instance rounds."""
+def train(bags: list[tuple[list[list[int]], int]], rounds: int = ROUNDS, keep=None) -> Machine:
+    """Fit on (features of the sentences of a document, label) by multiple-instance rounds; ``keep`` leaves features out (ablations)."""
     m = Machine()
-    bags = [([features(s) for s in sentences(t)], y) for t, y in docs if t]
+    if keep is not None:
+        bags = [([[f for f in s if keep(f)] or [0] for s in fs], y) for fs, y in bags]
     bags = [(f, y) for f, y in bags if f]
     if not bags or not any(y for _, y in bags):
         return m
@@ -289,7 +298,7 @@ def train(docs: list[tuple[str, int]], rounds: int = ROUNDS) -> Machine:
     for _ in range(rounds):
         p = m.prob(flat)
         top = np.maximum.reduceat(p, np.r_[0, ends[:-1]])
-        doubtful = ((label == 1) & (top < 0.15)) | ((label == 0) & (top > 0.9))
+        doubtful = ((label == 1) & (top < LOW)) | ((label == 0) & (top > 0.9))
         pos = (label[bag_of] == 1) & ((p >= 0.5) | (p >= top[bag_of] - 1e-9)) & ~doubtful[bag_of]
         neg = (label[bag_of] == 0) & ~doubtful[bag_of]
         use = pos | neg
@@ -300,12 +309,19 @@ def train(docs: list[tuple[str, int]], rounds: int = ROUNDS) -> Machine:
     return m
 
 
-def labelled(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list[tuple[str, int]]:
-    """A bounded sample of documents whose labels agree."""
-    y = labels.where("offensive is not null").groupBy("doc_id").agg(F.min("offensive").alias("lo"), F.max("offensive").alias("hi")).where("lo = hi")
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [[f for s in sentences(t) for f in features(s)] if t else [] for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "y", "bag"])
+
+
+def labelled(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list[tuple[list[list[int]], int]]:
+    """(features of every sentence, label) of a bounded sample of documents whose labels agree."""
+    y = labels.where("offensive is not null").groupBy("doc_id").agg(F.min("offensive").alias("y"), F.max("offensive").alias("hi")).where("y = hi").drop("hi")
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("doc_id", "text", "lo").collect()  # at most ``limit`` documents
-    return [(r["text"], int(r["lo"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    rows = documents.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))  # at most ``limit`` rows
+    got = rows.mapInArrow(_bags, "doc_id bigint, y int, bag array<array<int>>").toPandas().sort_values("doc_id", kind="stable")
+    return [([list(map(int, f)) for f in bag], int(y)) for bag, y in zip(got["bag"], got["y"])]
 
 
 def _score(model):
@@ -316,18 +332,23 @@ def _score(model):
             scores = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 best = 0.0
-                todo = []
+                todo: list[list[int]] = []
+                of: list[str] = []
                 for s in sentences(text) if text else ():
                     hit = memo.get(s)
                     if hit is None:
-                        todo.append(s)
+                        f = features(s)
+                        todo += f
+                        of += [s] * len(f)
                     elif hit > best:
                         best = hit
-                if todo:
-                    for s, p in zip(todo, m.prob(pad([features(s) for s in todo])).tolist()):
-                        best = max(best, p)
-                        if len(memo) < 100_000:
-                            memo[s] = p
+                for k in range(0, len(todo), 256):
+                    got: dict[str, float] = {}
+                    for s, p in zip(of[k : k + 256], m.prob(pad(todo[k : k + 256])).tolist()):
+                        got[s] = max(p, got.get(s, 0.0))
+                    best = max(best, *got.values())
+                    if len(memo) < 100_000 and len(todo) <= 256:
+                        memo.update(got)
                 scores.append(best)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stemma.llm import p1_neardup, p2_visual, p3_names, p4_queries, p5_encoding, p6_survivor, p7_packing, p8_mixing, p9_toxicity
-from stemma.session import materialize, table
+from stemma.session import materialize, scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,18 +44,20 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def _p6_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     corpus = table(spark, d, "corpus")
-    groups = materialize(p1_neardup.groups(corpus), "groups")
+    groups = p1_neardup.groups(corpus)  # a table already
     return corpus, groups, p6_survivor.claims(corpus, groups)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    _, _, claimed = _p6_claims(spark, d)
-    return p6_survivor.found(claimed, p6_survivor.fuse(claimed)[0])
+    with scratch(spark) as keep:
+        _, _, claimed = _p6_claims(spark, d)
+        return keep(p6_survivor.found(claimed, p6_survivor.fuse(claimed)[0]), "alone")
 
 
 def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
-    corpus, groups, claimed = _p6_claims(spark, d)
-    return p6_survivor.survivors(corpus, table(spark, d, "source_policy"), claimed, groups)
+    with scratch(spark) as keep:
+        corpus, groups, claimed = _p6_claims(spark, d)
+        return keep(p6_survivor.survivors(corpus, table(spark, d, "source_policy"), claimed, groups), "survivors")
 
 
 def p7_packing_windows(spark: SparkSession, d: str) -> DataFrame:

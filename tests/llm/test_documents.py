@@ -96,13 +96,13 @@ FINE = ["The reviewer finds the chapter weak and badly argued.", "In the letter
 
 def test_priors_alone_tell_apart():
     m = p9_toxicity.train([])
-    p = lambda s: float(m.prob(p9_toxicity.pad([p9_toxicity.features(s)]))[0])
+    p = lambda s: float(m.prob(p9_toxicity.pad(p9_toxicity.features(s))).max())
     assert all(p(s) > p9_toxicity.THRESHOLD for s in BAD[:5]) and all(p(s) < p9_toxicity.THRESHOLD for s in FINE)
 
 
 def test_obfuscation_is_undone():
     for w in ("fu@king", "f*cking", "s-h-i-t", "p u s s y", "idi0t", "Hurensoooohn", "w.h.o.r.e"):
-        assert p9_toxicity._INDEX["insult"] in p9_toxicity.features(w) or p9_toxicity._INDEX["profanity"] in p9_toxicity.features(w) or p9_toxicity._INDEX["sexual"] in p9_toxicity.features(w), w
+        assert p9_toxicity._INDEX["insult"] in p9_toxicity.features(w)[0] or p9_toxicity._INDEX["profanity"] in p9_toxicity.features(w)[0] or p9_toxicity._INDEX["sexual"] in p9_toxicity.features(w)[0], w
 
 
 def test_scores_and_rates(spark):
@@ -125,3 +125,28 @@ def test_ranks_of_widened_cohorts_are_checked(spark):
     got = {(r["cohort_level"], r["decade"], r["type"], r["lang"], r["run_id"], r["value"]): (r["reported_min"], r["digest_rank"]) for r in p4_queries.rank_check(m).collect()}
     assert got[(wide, "1990", "book", None, "r", 4.0)] == (0.5, 0.5) and got[(widest, "1980", None, None, "r", 9.0)] == (0.75, 0.75)
     assert len(got) == 7 and got[(full, "1990", "book", "de", "r", 1.0)] == (0.125, 0.125)
+
+
+def test_terms_that_no_list_holds_are_learned():
+    """Words of no class, in a pattern the labels show: with hashed terms the machine finds them, with the word classes alone it does not."""
+    rng = np.random.default_rng(5)
+    plain = ["archive", "letters", "margin", "codex", "school", "reader", "psalm", "desert", "river", "copy"]
+    line = lambda *extra: " ".join([*rng.choice(plain, 6), *extra]) + "."
+    bag = lambda text: [f for s in p9_toxicity.sentences(text) for f in p9_toxicity.features(s)]
+    bad = [line() + " " + line("blorpish", "zwickers", "idiots") + " " + line() for _ in range(40)]
+    fine = [line() + " " + line() + " " + line("idiots") for _ in range(60)] + [line() + " " + line() for _ in range(200)]
+    train = [(bag(t), 1) for t in bad[:20]] + [(bag(t), 0) for t in fine[:180]]
+    score = lambda m, t: float(m.prob(p9_toxicity.pad(bag(t))).max())
+    whole, classes = p9_toxicity.train(train), p9_toxicity.train(train, keep=lambda f: f < p9_toxicity._SLOTS)
+    assert all(score(whole, t) > p9_toxicity.THRESHOLD for t in bad[20:]) and sum(score(whole, t) > p9_toxicity.THRESHOLD for t in fine[180:]) == 0
+    listed = lambda t: float(classes.prob(p9_toxicity.pad([[f for f in x if f < p9_toxicity._SLOTS] or [0] for x in bag(t)])).max())
+    assert len({round(listed(t), 6) for t in bad[20:] + fine[:20]}) == 1
+
+
+def test_long_sentences_are_read_whole():
+    words = ["word"] * 40
+    long_ = " ".join(["idiots", *words, "immigrants"])
+    kinds = {p9_toxicity._INDEX["insult"], p9_toxicity._INDEX["group"]}
+    assert any(kinds <= set(f) for f in p9_toxicity.features(long_)) and len(p9_toxicity.features(long_)) > 2
+    cited = "He wrote “they are " + " ".join(words) + " idiots” in his letter."
+    assert all(p9_toxicity._INDEX["quoted"] in f for f in p9_toxicity.features(cited))
