@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -97,6 +98,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Asks the driver to collect what finished steps left, so that their shuffle files are deleted on the executors."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialize` wrote, once all that was made of it is written itself."""
     path = getattr(df, "_stemma_path", None)
