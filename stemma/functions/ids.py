@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType
 
-from stemma.functions.text import fold
+from stemma.functions.text import fold, norm_title
 
 
 def norm_doi(c: Column) -> Column:
@@ -44,7 +44,9 @@ def record_isbns(isbn: Column, isbn_issn: Column) -> Column:
 
 
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
-VOLUME_WORDS = "vol|volume|volumen|band|bd|tome|tomo|tom|tomus|t|τομοσ|τομος|том|teil|part|parte|pt|fasc|heft|livre|book|liber|buch"
+# Words before a volume number, and the pattern of a well-formed roman numeral.
+VOLUME_WORDS = "vol|volume|volumen|volumi|bd|band|baende|t|tom|tome|tomo|tomos|teil|parte|part|pt|fasc|heft"
+ROMAN_PATTERN = "m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 
 
 def roman_to_int(c: Column) -> Column:
@@ -59,9 +61,9 @@ def roman_to_int(c: Column) -> Column:
 
 
 def volume_signature(c: Column) -> Column:
-    """Sorted distinct volume numbers that follow a volume word (arabic up to three digits, or roman)."""
-    found = F.regexp_extract_all(fold(c), F.lit(rf"(?U)\b(?:{VOLUME_WORDS})\b\.?\s*([ivxlcdm]{{1,7}}|[0-9]{{1,3}})\b"), 1)
-    n = F.transform(found, lambda x: F.when(x.rlike("^[0-9]+$"), F.try_to_number(x, F.lit("999")).cast("int")).otherwise(roman_to_int(x)))
+    """Sorted distinct volume numbers that follow a volume word in the normalised title (arabic up to three digits, or a well-formed roman numeral)."""
+    found = F.regexp_extract_all(norm_title(c), F.lit(rf"(?U)\b(?:{VOLUME_WORDS})\s+([0-9]{{1,3}}|(?=[ivxlcdm]){ROMAN_PATTERN})\b"), 1)
+    n = F.transform(F.filter(found, lambda x: x != ""), lambda x: F.when(x.rlike("^[0-9]+$"), F.try_to_number(x, F.lit("999")).cast("int")).otherwise(roman_to_int(x)))
     return F.array_sort(F.array_distinct(F.array_compact(n)))
 
 
@@ -128,7 +130,7 @@ def _run(x: list[str], y: list[str]) -> tuple[int, int, int]:
 
 
 _VOL = re.compile(rf"^(?:{VOLUME_WORDS})$")
-_NUM = re.compile(r"^(?:[0-9]{1,3}|[ivxlcdm]{1,7})$")
+_NUM = re.compile(rf"^(?:[0-9]{{1,3}}|(?=[ivxlcdm]){ROMAN_PATTERN})$")
 
 
 @F.pandas_udf(BooleanType())

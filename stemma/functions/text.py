@@ -7,7 +7,9 @@ an empty text stays empty unless said otherwise, length is not limited.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -70,10 +72,13 @@ def truncate(c: Column, n: int = 120) -> Column:
     return F.when(F.length(c) <= n, c).otherwise(F.concat(cut, F.lit("…")))
 
 
-#: fixed values: stop words of five languages in search
+# Stop words of five languages in search.
 SEARCH_STOP = (
-    "the and for with from that this into upon les des une sur dans par pour avec aux est que qui der die das und von den dem des ein eine zur zum mit "
-    "nel della del delle dei per con sul una gli los las del por para con una como sobre"
+    "the and for with from that this was are its our not but all any how who "
+    "des les une dans pour sur avec par aux ses est comme entre chez "
+    "der die das und von den dem ein eine des mit auf ist als bei aus "
+    "che del della dei con per una nel nella sul "
+    "los las una del por con para sobre entre"
 ).split()
 
 
@@ -118,24 +123,83 @@ def inverted_to_text(c: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
 
 
-#: fixed values: marker words of a language
+# Marker words of a language by weight (elided forms end in a backtick).
 LANGUAGE_WORDS = {
-    "de": "der|die|das|und|des|dem|zur|zum|bei|über|für|eine|einer|nach|wird|dass|nicht",
-    "en": "the|and|of|with|from|on|that|an|to|is|for|which",
-    "es": "el|los|las|del|y|una|según|sobre|que|con",
-    "fr": "le|les|des|du|et|une|chez|sur|dans|aux|est|qui",
-    "it": "il|lo|gli|della|dei|delle|nel|di|che|un|è",
-    "la": "ad|et|de|cum|sive|editio|codices|commentarius",
-}
+    "it": {
+        3: "della dello degli delle nella nello negli nelle sulla sullo dalla dalle allo agli alla",
+        2: "di nel nei dal dai gli che come secondo studi ricerche tra fra questione storia pensiero padri scuola chiesa vita cultura opere lettera commento problema rapporto figura testo libro antico antica nuovo nuova primo greco cristiana cristiano ancora anche dopo contro",
+        1: "il lo una un per non con suo sua alcuni nella nel sui sul",
+    },
+    "fr": {
+        3: "dans selon chez aux entre étude études autour ainsi celui leur ses cette quelques",
+        2: "père pères église vie oeuvre lettre commentaire pensée problème figure thème texte livre ancien nouveau premier grec chrétienne chrétien des une du sur pour et par est ou au à son ancienne nouvelle autour depuis jusqu encore même aussi contre avant après face",
+        1: "la le les de en se ce qui que ne",
+    },
+    "de": {
+        3: "die der das den dem und zur zum über bei für eines einer einem nach zwischen durch seine ihre als nicht sich zwei untersuchungen studien beiträge beitrag geschichte frage bemerkungen anmerkungen auslegung deutung verhältnis",
+        2: "von im des ein eine auf aus mit vom am zu",
+    },
+    "en": {
+        3: "the and of to for from between according with its his her their some early new this about towards through against",
+        2: "studies essays study notes remarks reading interpretation thought problem question",
+        1: "in on a an as by is are was were",
+    },
+    "es": {3: "el los las según españa papel hacia sobre entre desde una del para escuela teología filosofía pensamiento estudios", 1: "y en que su no"},
+    "nl": {3: "het van een door zijn niet bij over naar uitleg receptie christelijke joodse tussen deze", 1: "de en in te op"},
+    "la": {3: "apud liber libri opera omnia secundum atque quaestiones commentarii editio epistulae fragmenta adversus hominis", 1: "de in ad contra super et ex cum"},
+}
+# Markers that are no single words, by language and weight, and whether they begin a word: elisions and one pair.
+LANGUAGE_SIGNS = (
+    ("it", 3, False, r"(?:dell|nell|all|sull|dall|quell|un|nel)`"),
+    ("it", 1, True, r"(?:l|d)`[aeiouàèéìòù]"),
+    ("fr", 3, True, r"(?:qu|j|c|s|n|m|t)`[a-zàâçéèêëîïôûùüÿœ]"),
+    ("fr", 1, True, r"(?:l|d)`[a-zàâçéèêëîïôûùüÿœ]"),
+    ("es", 1, True, r"de la\b"),
+)
+LANGUAGES = tuple(LANGUAGE_WORDS)
+_RUN_OF_LETTERS = re.compile(r"\w+")
+
+
+def _marker_weights() -> dict[str, list[tuple[int, int]]]:
+    out: dict[str, list[tuple[int, int]]] = {}
+    for i, lists in enumerate(LANGUAGE_WORDS.values()):
+        for weight, words in lists.items():
+            for w in words.split():
+                out.setdefault(w, []).append((i, weight))
+    return out
+
+
+_MARKERS = _marker_weights()
+_SIGNS = [(LANGUAGES.index(k), w, re.compile((r"\b" if begins else "") + p), "`" if "`" in p else "de la") for k, w, begins, p in LANGUAGE_SIGNS]
+
+
+@F.pandas_udf(StringType())
+def _language(texts: pd.Series, min_score: pd.Series, margin: pd.Series) -> pd.Series:
+    least, lead = (int(min_score.iloc[0]), int(margin.iloc[0])) if len(texts) else (0, 0)
+
+    def one(t: str | None) -> str | None:
+        t = t.strip().lower() if t else ""
+        if len(t) < 12 or len(t.split()) < 3:
+            return None
+        score = [0] * len(LANGUAGES)
+        for w, n in Counter(_RUN_OF_LETTERS.findall(t)).items():
+            for i, weight in _MARKERS.get(w, ()):
+                score[i] += n * weight
+        for i, weight, pattern, sign in _SIGNS:
+            if sign in t:
+                score[i] += weight * len(pattern.findall(t))
+        best, second = sorted(score, reverse=True)[:2]
+        return LANGUAGES[score.index(best)] if best >= least and best - second >= lead else None
+
+    return texts.map(one)
 
 
 def guess_language(c: Column, min_score: int = 3, margin: int = 2) -> Column:
-    """The language with the most marker words, if it has enough and leads by a margin; else null."""
-    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(c), r"[^\p{L}]+", "  "), F.lit("  "))
-    scores = [F.struct((-F.regexp_count(padded, F.lit(f" (?:{w}) "))).alias("neg"), F.lit(k).alias("lang")) for k, w in LANGUAGE_WORDS.items()]
-    ranked = F.array_sort(F.array(*scores))
-    best, second = -F.element_at(ranked, 1)["neg"], -F.element_at(ranked, 2)["neg"]
-    return F.when((F.length(c) >= 12) & (best >= min_score) & (best - second >= margin), F.element_at(ranked, 1)["lang"])
+    """The language whose marker words weigh most, if they weigh enough and lead by a margin; else null.
+
+    The words of a text are counted once and looked up; texts under 12 characters or three words have none.
+    """
+    return _language(c, F.lit(min_score), F.lit(margin))
 
 
 #: ordered repairs of card-catalogue text: pattern, replacement

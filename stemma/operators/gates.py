@@ -130,3 +130,21 @@ def isbn_splits(clusters: DataFrame) -> DataFrame:
     g = clusters.groupBy("isbn").agg(F.count_distinct("cluster").alias("clusters"), F.count_distinct("volume").alias("volumes"), F.min("year").alias("lo"), F.max("year").alias("hi"), F.count("*").alias("n"))
     why = F.when(F.col("volumes") > 1, "volume").when(F.col("hi") - F.col("lo") > 1, "reissue").otherwise("unexplained")
     return g.where("clusters > 1").withColumn("why", why)
+
+
+def projection_check(projected: DataFrame, measured: DataFrame, works: DataFrame) -> DataFrame:
+    """(citation_id, donors, agreeing, holds): counts taken over by title, derived again.
+
+    Both tables have doi and n; ``works`` gives title_key, author_key, type and year of a
+    DOI.  Donors have the same title, author and type, another DOI, and a year no further
+    away than the type allows.  They are counted per key, year and count before they meet.
+    """
+    key = ["title_key", "author_key", "type"]
+    usable = F.col("title_key").isNotNull() & (F.col("title_key") != "") & F.col("author_key").isNotNull() & ~F.col("type").isin("?", "other") & F.col("year").isNotNull()
+    w = works.where(usable)
+    t = projected.select("citation_id", "doi", "n").join(w, "doi")
+    g = measured.select("doi", "n").join(w, "doi").groupBy(*key, F.col("year").alias("g_year"), F.col("doi").alias("g_doi"), F.col("n").alias("g_n")).agg(F.count("*").alias("k"))
+    gap = F.when(F.col("type").isin("article", "review"), 0).otherwise(1)
+    m = t.join(g, key).where((F.col("doi") != F.col("g_doi")) & (F.abs(F.col("year") - F.col("g_year")) <= gap) & F.col("g_n").isNotNull()).groupBy("citation_id").agg(F.sum("k").alias("donors"), F.sum(F.when(F.col("g_n") == F.col("n"), F.col("k")).otherwise(0)).alias("agreeing"))
+    out = projected.select("citation_id").join(m, "citation_id", "left").fillna(0, ["donors", "agreeing"])
+    return out.withColumn("holds", F.col("agreeing") > 0)

@@ -73,6 +73,31 @@ def top_trails(adjacency: DataFrame, k: int = 3) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def greedy_trails(adjacency: DataFrame, k: int = 3) -> DataFrame:
+    """The links (a, b, weight) kept when the heaviest come first and no end takes more than ``k``; ties go to the lesser names.
+
+    A link that is among the first undecided ones of both its ends, as many as these
+    still have room for, is one that the sequence keeps; one of a full end it drops.  Both
+    are decided at once in every round, and the heaviest undecided link always is, so the
+    rounds end; in practice after a few.
+    """
+    left = materialize(adjacency.select("a", "b", "weight"), "links")
+    kept: DataFrame | None = None
+    while True:
+        ends = left.select(F.col("a").alias("end"), "a", "b", "weight").unionByName(left.select(F.col("b").alias("end"), "a", "b", "weight"))
+        full = kept.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("taken")) if kept is not None else None
+        ends = ends.join(full, "end", "left") if full is not None else ends.withColumn("taken", F.lit(0))
+        w = Window.partitionBy("end").orderBy(F.col("weight").desc(), "a", "b")
+        both = ends.select("a", "b", "weight", (F.row_number().over(w) <= k - F.coalesce("taken", F.lit(0))).alias("first"), (F.coalesce("taken", F.lit(0)) >= k).alias("full")).groupBy("a", "b", "weight").agg(F.every("first").alias("keep"), F.some("full").alias("drop"))
+        both = materialize(both, "round")
+        new = both.where("keep").select("a", "b", "weight")
+        kept = new if kept is None else kept.unionByName(new)
+        discard(left)
+        left = materialize(both.where("not keep and not drop").select("a", "b", "weight"), "links")
+        if left.isEmpty():
+            return kept
+
+
 def adjacent_zones(adjacency: DataFrame, chosen: list[str], k: int = 3) -> DataFrame:
     """Neighbours of the chosen ones by summed weight, the chosen ones left out."""
     both = adjacency.select("a", "b", "weight").unionByName(adjacency.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))

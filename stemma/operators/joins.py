@@ -60,3 +60,12 @@ def set_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Are two tables equal as bags of rows?"""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def donors(targets: DataFrame, givers: DataFrame, key: str, row: str, value: str) -> DataFrame:
+    """(row, donor, donors, disputed): for each target the least giver of its key, how many there are, and whether their values differ.
+
+    Givers are counted per key before they meet the targets, so a hot key costs one row.
+    """
+    g = givers.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(row).alias("donor"), F.count("*").alias("donors"), (F.min(value) != F.max(value)).alias("disputed"))
+    return targets.join(g, key).select(row, "donor", "donors", "disputed")

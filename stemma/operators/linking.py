@@ -143,8 +143,10 @@ def cluster(records: DataFrame) -> DataFrame:
     # a DOI class is one node from the start, and so are copies without a DOI under one ISBN: their
     # links are unconditional, and however many they are, they reach the replay as one row
     by_doi = k.where("doi is not null").groupBy("doi").agg(F.min("record_id").alias("by_doi"))
-    copy_key = F.when(F.col("doi").isNull() & (F.size("isbns") > 0), F.xxhash64(F.to_json("isbns"), "title_norm", "author_key", F.to_json("volume"), "year"))
-    k2 = k.select("record_id", "doi", "volume", copy_key.alias("copy"))
+    # (an ISBN that names a series unites nothing, so rows that have no other are no copies of each other)
+    of_volume = k.where("doi is null").select("record_id", F.explode("isbns").alias("isbn")).join(isbn_series(k).select("isbn"), "isbn", "left_anti").select("record_id").distinct()
+    copy_key = F.when(F.col("one_volume") & F.col("doi").isNull(), F.xxhash64(F.to_json("isbns"), "title_norm", "author_key", F.to_json("volume"), "year"))
+    k2 = k.join(of_volume.withColumn("one_volume", F.lit(True)), "record_id", "left").select("record_id", "doi", "volume", copy_key.alias("copy"))
     by_copy = k2.where("copy is not null").groupBy("copy").agg(F.min("record_id").alias("by_copy"))
     home = k2.join(by_doi, "doi", "left").join(by_copy, "copy", "left").select("record_id", F.coalesce("by_doi", "by_copy", "record_id").alias("node"), "doi", "volume")
     home = materialize(home, "home")

@@ -42,3 +42,10 @@ def coverage(df: DataFrame, dims: list[str], has: Column) -> DataFrame:
 def facet(df: DataFrame, option: str, counted: Column, mentioned: Column) -> DataFrame:
     """Per option: rows counted and rows only mentioned."""
     return df.groupBy(option).agg(F.count_if(counted).alias("counted"), F.count_if(mentioned).alias("mentioned"))
+
+
+def options(df: DataFrame, axes: tuple[str, ...], counts: Column) -> DataFrame:
+    """(axis, option, mentioned, counted, mentioned_only): rows that have an option of the array columns, and those for which ``counts`` holds; an option counts once a row."""
+    flat = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.array_distinct(a).alias("v")) for a in axes]))
+    o = df.select(counts.alias("counts"), flat.alias("x")).select("counts", "x.axis", F.explode("x.v").alias("option"))
+    return o.groupBy("axis", "option").agg(F.count("*").alias("mentioned"), F.count_if("counts").alias("counted")).withColumn("mentioned_only", F.col("counted") == 0)

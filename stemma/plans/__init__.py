@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stemma.plans import counts, linked, logs, more, ranks, searches, texts
+from stemma.plans import counts, deeper, linked, logs, more, ranks, searches, texts
 
-MODULES = (texts, counts, logs, ranks, searches, linked, more)
+MODULES = (texts, counts, logs, ranks, searches, linked, more, deeper)
 QUERIES: dict = {}
 SQL: dict = {}
 for _m in MODULES:

@@ -223,4 +223,4 @@ def author_homonyms(spark: SparkSession, d: str) -> DataFrame:
     return graph.homonyms(a)
 
 
-_ = codes
+

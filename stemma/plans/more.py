@@ -99,4 +99,4 @@ def primary_layer(spark: SparkSession, d: str) -> DataFrame:
     return p.select("notice_id", (F.col("standing") == "counted").alias("counted"), "title")
 
 
-_ = text
+

@@ -59,9 +59,11 @@ def volume_marks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corpus").select("record_id", v.alias("volume")).where("volume != ''")
 
 
-@query()
+@query(f"""with n as (select record_id, list_filter(regexp_extract_all({S.norm_title('title')}, '\\b(?:{ids.VOLUME_WORDS})\\s+([0-9]{{1,3}}|{ids.ROMAN_PATTERN})\\b', 1), lambda x: x <> '') as n from corpus),
+    v as (select record_id, list_sort(list_distinct(list_transform(n, lambda x: {S.roman('x')}))) as v from n)
+    select record_id, array_to_string(v, ',') as volume from v where len(v) > 0""")
 def volume_signature(spark: SparkSession, d: str) -> DataFrame:
-    """Sorted volume numbers, roman ones read; checked by unit tests."""
+    """Sorted volume numbers, roman ones read."""
     v = ids.volume_signature(F.col("title"))
     return table(spark, d, "corpus").select("record_id", F.array_join(F.transform(v, lambda x: x.cast("string")), ",").alias("volume")).where("volume != ''")
 
@@ -79,14 +81,13 @@ def codes_norm(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corpus").select("record_id", lang.alias("lang"), codes.norm_type(F.col("type")).alias("type_norm"), codes.decade(codes.norm_year(F.col("year"))).alias("decade"), codes.bucket_language(lang).alias("lang_bucket"))
 
 
-_PAD = "'  ' || regexp_replace(lower(text), '[^\\p{L}]+', '  ', 'g') || '  '"
-
-
-@query(f"""with p as (select doc_id, {_PAD} as t, length(text) as n from documents),
-    s as (select doc_id, n, unnest([{', '.join(f"struct_pack(neg := -len(regexp_extract_all(t, ' (?:{w}) ')), lang := '{k}')" for k, w in text.LANGUAGE_WORDS.items())}]) as x from p),
-    r as (select doc_id, n, x.neg as neg, x.lang as lang, row_number() over (partition by doc_id order by x.neg, x.lang) as k from s),
-    b as (select doc_id, max(n) as n, max(case when k = 1 then lang end) as lang, -max(case when k = 1 then neg end) as best, -max(case when k = 2 then neg end) as second from r group by 1)
-    select doc_id, case when n >= 12 and best >= 3 and best - second >= 2 then lang end as guessed from b""")
+@query(f"""with t as (select doc_id, regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') as t from documents),
+    w as (select doc_id, t, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+') as w, replace(t, ' ', '  ') as wide from t),
+    s as (select doc_id, t, unnest([{', '.join(S.marker_score(k) for k in text.LANGUAGES)}]) as x from w),
+    r as (select doc_id, t, x.score as score, x.lang as lang, row_number() over (partition by doc_id order by x.score desc) as k from s),
+    b as (select doc_id, max(t) as t, max(case when k = 1 then lang end) as lang, max(case when k = 1 then score end) as best, max(case when k = 2 then score end) as second from r group by 1)
+    select doc_id, case when length(t) >= 12 and len(regexp_extract_all(t, '\\S+')) >= 3 and best >= 3 and best - second >= 2 then lang end as guessed from b
+    union all select doc_id, null from documents where text is null""")
 def guess_language(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.guess_language(F.col("text")).alias("guessed"))
 

@@ -40,7 +40,7 @@ def walk(fetch: Callable[[str, str | None], dict], slice_: str, cap: int | None
             page = fetch(slice_, token)
         except DeadToken:
             if restarted:
-                return
+                raise RuntimeError(f"{slice_}: the token died again after {given} rows; the slice is not whole") from None
             restarted, token = True, None
             continue
         if page.get("status", 200) in (429, 503):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD = (
@@ -17,23 +17,49 @@ RECORD = (
 def json_lines(spark: SparkSession, path: str, schema: str = RECORD, strict: bool = False) -> DataFrame:
     """Line JSON under a glob: bad lines are kept apart in ``_corrupt_record``, or fatal when strict.
 
-    Adds the file and the block offset, so that rows have an order that does not depend on the layout of tasks.
+    Adds the file (``_file``) and where the block of the line begins in it (``_block``).
     """
     r = spark.read.schema(schema if strict else f"{schema}, _corrupt_record string").option("mode", "FAILFAST" if strict else "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-    return r.json(path).withColumn("_file", F.input_file_name()) if not strict else r.json(path)
+    return r.json(path) if strict else r.json(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, dead letters)."""
     bad = F.col("_corrupt_record").isNotNull()
-    return df.where(~bad).drop("_corrupt_record"), df.where(bad).select("_file", "_corrupt_record")
+    return df.where(~bad).drop("_corrupt_record"), df.where(bad).select("_file", "_block", "_corrupt_record")
 
 
 def json_any(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
-    """A file that is either line JSON or one JSON array: told by its first sign that is no blank."""
-    first = spark.read.text(path).where("trim(value) != ''").limit(1).collect()
-    multi = bool(first) and first[0][0].lstrip().startswith("[")
-    return spark.read.schema(schema).option("multiLine", multi).json(path)
+    """Files that are each either line JSON or one JSON array: told, file by file, by the first sign that is no blank."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i")).where("at = 0 and trim(value) != ''")
+    first = lines.groupBy("file").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "i").alias("sign"))
+    arrays = [r["file"] for r in first.where("sign = '['").select("file").collect()]  # one row per file
+    plain = [r["file"] for r in first.where("sign != '['").select("file").collect()]
+    out = [spark.read.schema(schema).option("multiLine", multi).json(files) for files, multi in ((arrays, True), (plain, False)) if files]
+    if not out:
+        return spark.createDataFrame([], schema)
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+def bad_lines(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
+    """(file, line, text) of the lines that are no JSON of the schema; lines count from 1.
+
+    Lines are counted per block of a file, so a file is read in as many tasks as it has blocks.
+    """
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    begins = t.groupBy("file", "block").agg(F.min("i").alias("from"), F.count("*").alias("n"))
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = begins.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    bad = t.where("trim(value) != ''").where(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull())
+    return bad.join(begins, ["file", "block"]).select("file", F.expr("before + i - from + 1").alias("line"), F.col("value").alias("text"))
+
+
+def strict_lines(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
+    """Line JSON of which every line must be right; the first bad one is named by file and line."""
+    first = bad_lines(spark, path, schema).orderBy("file", "line").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0]['file']}:{first[0]['line']}: no record: {first[0]['text'][:120]}")
+    return spark.read.schema(schema).json(path)
 
 
 def polymorphic_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +87,8 @@ def signatures(spark: SparkSession, path: str) -> DataFrame:
 def policy_in_text(spark: SparkSession, path: str) -> DataFrame:
     """The first fenced JSON block of a text that holds ``attribution``: one row per source."""
     text = spark.read.text(path, wholetext=True)
-    block = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)```json\s*(.*?)```"), 1)).alias("b")).where("b like '%\"attribution\"%'").limit(1)
+    blocks = F.regexp_extract_all("value", F.lit(r"(?s)```json\s*(.*?)```"), 1)
+    block = text.select(F.get(F.filter(blocks, lambda b: b.contains('"attribution"')), F.lit(0)).alias("b"))
     m = block.select(F.explode(F.from_json("b", "attribution map<string,struct<label:string,url_template:string,hosts:array<string>,license:string>>")["attribution"]).alias("source", "p"))
     return m.select("source", "p.*")
 

@@ -78,7 +78,10 @@ def test_walk_waits_and_restarts():
             raise paged.DeadToken
         return {"rows": [{"source_id": "1"}], "next": "dead"}
 
-    assert [r["source_id"] for r in paged.walk(fetch, "x", sleep=waits.append)] == ["1"] and waits == [3600]
+    rows = paged.walk(fetch, "x", sleep=waits.append)
+    assert next(rows)["source_id"] == "1" and waits == [3600]
+    with pytest.raises(RuntimeError, match="not whole"):
+        next(rows)
     assert paged.retry_after("900") == 900 and paged.retry_after(None) is None and paged.retry_after("soon") is None
 
 
