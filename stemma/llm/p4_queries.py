@@ -23,7 +23,7 @@ def measured(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of every cohort in every run, with certified rank errors."""
-    m = measured(spark, d)
+    m = materialize(measured(spark, d), "measured")  # read by the digests and by the counting pass
     return p4_digest.percentiles(m, p4_digest.digests(m, RUN, "cited_by_count"), RUN, "cited_by_count")
 
 
@@ -34,7 +34,7 @@ def p4_digests(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_combined(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per cohort over all runs, from the runs' digests alone, certified by counting."""
-    m = measured(spark, d)
+    m = materialize(measured(spark, d), "measured")
     return p4_digest.percentiles(m, p4_digest.combine(p4_digest.digests(m, RUN, "cited_by_count"), COHORT), COHORT, "cited_by_count")
 
 

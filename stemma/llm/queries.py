@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import p1_neardup, p2_visual, p3_names, p4_queries, p5_encoding, p6_survivor, p7_packing, p8_mixing, p9_toxicity
+from stemma.llm import checked, p1_neardup, p2_visual, p3_names, p4_queries, p5_encoding, p6_survivor, p7_packing, p8_mixing, p9_toxicity
 from stemma.session import materialize, scratch, table
 
 
@@ -110,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
+    **checked.QUERIES,
 }
 
-SQL: dict[str, str] = {}
+#: the operators themselves are tested against brute force, round trips and held-out cases
+SQL: dict[str, str] = dict(checked.SQL)
