@@ -3,7 +3,8 @@
 A piece of text is a node of a graph whose edges are *encode with A, decode
 with B* and *unescape*.  A best-first search with a visited set walks that
 graph from the delivered text; a character-plausibility cost guides it, and the
-cheapest text reached is the restoration.  The search runs on blank-separated
+cheapest text reached is the restoration.  Costs alone bound the search: no step is
+taken that cannot lead below the best cost, nor a detour dearer than stated.  The search runs on blank-separated
 words, because only a part of a field may be garbled; the chain found for one
 word is tried first on the next suspicious word of the same field.
 
@@ -45,8 +46,8 @@ SINGLE_BYTE_STEPS = {
 }
 STEP_COST = 0.35
 MIN_GAIN = 1.5
-MAX_DEPTH = 4
-MAX_EXPANSIONS = 24
+#: a text may cost this much more than the delivered one on the way to a cheaper one, less for every step taken
+DETOUR, DETOUR_STEP = 2.0, 0.9
 
 
 def _byte_table(name: str) -> dict[str, int]:
@@ -209,21 +210,19 @@ def _search(word: str) -> tuple[str, tuple, float]:
     best, best_cost, best_chain = word, start, ()
     heap = [(start, 0, word, ())]
     seen = {word}
-    expansions = 0
-    while heap and expansions < MAX_EXPANSIONS:
+    while heap:
         _, depth, text, chain = heapq.heappop(heap)
-        if depth >= MAX_DEPTH:
-            continue
-        expansions += 1
+        spent = STEP_COST * (depth + 1)
+        if spent >= best_cost:
+            continue  # no text behind one more step can be cheaper than the best
         for step, new in _neighbours(text):
             if new in seen:
                 continue
             seen.add(new)
-            here = cost(new)
-            total = here + STEP_COST * (depth + 1)
+            total = cost(new) + spent
             if total < best_cost - 1e-9:
                 best, best_cost, best_chain = new, total, (*chain, step)
-            if total < start + 2.0:
+            if total < start + DETOUR - DETOUR_STEP * depth:
                 heapq.heappush(heap, (total, depth + 1, new, (*chain, step)))
         if best_cost <= STEP_COST * 2:
             break

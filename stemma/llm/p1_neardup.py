@@ -414,19 +414,22 @@ _PARTS = ("title", "vol", "review", "cut", "year", "doi", "authors", "container"
 _SCORED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64()), ("loose_a", pa.int32()), ("loose_b", pa.int32())])
 
 
-def _verify(counts, total: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = counts.value
-        memo: dict[str, float] = {}
+class _Weights(dict):
+    """Word -> squared logarithm of its rarity, filled as words occur; only speed depends on its size."""
+
+    def __init__(self, counts: np.ndarray, total: int):
+        self.counts, self.total = counts, total
 
-        def weight(w: str) -> float:
-            v = memo.get(w)
-            if v is None:
-                v = memo[w] = float(np.log(max(1.5, total / max(1, df[records.word_bucket(w)])))) ** 2
-                if len(memo) > 500_000:
-                    memo.clear()
-            return v
+    def __missing__(self, w: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        v = self[w] = float(np.log(max(1.5, self.total / max(1, self.counts[records.word_bucket(w)])))) ** 2
+        return v
 
+
+def _verify(counts, total: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = _Weights(counts.value, total).__getitem__
         for batch in batches:
             res: list[list] = [[], [], [], [], []]
             ids = (batch.column(i).to_pylist() for i in (0, 1, 2))
