@@ -66,13 +66,17 @@ class Engine:
         t = self.records.select("counts", axes.alias("x")).select("counts", "x.axis", F.explode("x.terms").alias("term"))
         return t.groupBy("axis", "term").agg(F.count_if("counts").alias("counted"), F.count_if(~F.col("counts")).alias("mentioned"))
 
-    def density(self, question: str, most: int = tree.MAX_NODES) -> dict:
-        """Distinct notices of the nodes a question selects beside all that are indexed; nothing selected is 0."""
+    def density(self, question: str, most: int = tree.MAX_NODES, select=None) -> dict:
+        """Distinct notices of the nodes a question selects beside all that are indexed; nothing selected is 0.
+
+        ``select(nodes, question, most)`` may choose the nodes instead of the words of the question;
+        what it names that is no node is left out, and the answer says that a selector chose.
+        """
         b = tree.bridge(self.records.where("counts"))
         nodes = b.where("depth = 2").groupBy("node_id").agg(F.count("*").alias("n_notices"))
-        chosen = tree.select_nodes(nodes, question, "node_id", most=most)
+        chosen = tree.select_nodes(nodes, question, "node_id", most=most) if select is None else nodes.join(select(nodes, question, most).select("node_id").distinct(), "node_id", "left_semi").orderBy("node_id").limit(most)
         r = tree.density(b, chosen, self.records.where("counts").count()).first()
-        return {"nodes": [x["node_id"] for x in chosen.collect()], "notices": r["notices"], "indexed": r["indexed"], "parameters": {"min_relevance": "partial", "max_nodes": most, "engine": "deterministic"}}
+        return {"nodes": [x["node_id"] for x in chosen.collect()], "notices": r["notices"], "indexed": r["indexed"], "parameters": {"min_relevance": "partial", "max_nodes": most, "engine": "deterministic" if select is None else "selector"}}
 
     def neighborhood(self, question: str, limit: int = 50) -> DataFrame:
         """The notices of the selected nodes, each once."""

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from stemma.operators import graph
-from stemma.sources import mappers, readers
+from stemma.sources import mappers, paged, readers
 
 
 def test_greedy_trails_are_those_of_the_sequence(spark):
@@ -73,3 +73,39 @@ def test_arrays_and_lines_in_one_folder(spark, tmp_path):
     (tmp_path / "a.json").write_text('\n [{"source": "s", "source_id": "1"},\n {"source": "s", "source_id": "2"}]')
     (tmp_path / "b.json").write_text('{"source": "s", "source_id": "3"}\n')
     assert sorted(r.source_id for r in readers.json_any(spark, f"file://{tmp_path}/*.json").collect()) == ["1", "2", "3"]
+
+
+def pages(slice_, token, options):
+    n = int(token or 0)
+    return {"rows": [{"source_id": f"{slice_}{n}", "title": "T"}], "next": str(n + 1) if n < 2 else None}
+
+
+def test_paged_stream_resumes_at_its_cursor(spark, tmp_path):
+    options = {"slices": '["a", "b"]', "fetch": "tests.test_deeper:pages"}
+    r = paged._Stream(options)
+    at, got = r.initialOffset(), []
+    while at["next"]:
+        rows, then = r.read(at)
+        rows = list(rows)
+        assert list(paged._Stream(options).readBetweenOffsets(at, then)) == rows
+        got += [x[1] for x in rows]
+        at = then
+    assert sorted(got) == ["a0", "a1", "a2", "b0", "b1", "b2"]
+    assert list(r.read(at)[0]) == [] and r.read(at)[1] == at
+    spark.dataSource.register(paged.PagedSource)
+    df = spark.read.format("paged").options(**options).load()
+    assert sorted(x.source_id for x in df.collect()) == sorted(got)
+
+
+class Asked:
+    def gap(self, words):
+        return {"sentence": words}
+
+
+def test_command_line(capsys):
+    from stemma.__main__ import main
+
+    assert main(["gap", "divine", "pedagogy", "--data", "x", "--json"], Asked()) == 0
+    assert json.loads(capsys.readouterr().out) == {"sentence": "divine pedagogy"}
+    with pytest.raises(SystemExit):
+        main(["gap", "--data", "x"], Asked())
