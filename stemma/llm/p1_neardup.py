@@ -141,7 +141,8 @@ def surname_aliases(reps: DataFrame) -> DataFrame:
     one = d.join(o, "d").where("m > n or (m = n and alias < surname)").select("surname", "alias")
     h = s.where("length(surname) > 6").withColumn("d", F.substring("surname", 1, 7))
     p = h.join(h.select("d", F.col("surname").alias("alias"), F.col("n").alias("m")), "d").where("(m > n or (m = n and alias < surname)) and (startswith(surname, alias) or startswith(alias, surname))").select("surname", "alias")
-    return materialize(one.unionByName(p).distinct().groupBy("surname").agg(F.collect_list("alias").alias("aliases")), "aliases")
+    out = materialize(one.unionByName(p).distinct().groupBy("surname").agg(F.collect_list("alias").alias("aliases")), "aliases")
+    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
 
 
 def _keyed(reps: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -205,13 +206,16 @@ def without_authors(reps: DataFrame) -> DataFrame:
     side; those of the row without authors whose bit the other has weigh at least as much as the common ones (suffix filter).
     """
     more = ("sig0", "sig1", "need")
-    bare = _grams(reps.where("size(surnames) = 0 and weight > 0")).where(f"rest >= {BARE_SHARE * BARE_RATIO} * weight - 0.001")
-    full = _grams(reps.where("weight > 0")).where(f"rest >= {BARE_SHARE * BARE_RATIO} * weight - 0.001")
+    short, long_ = f"rest >= {BARE_SHARE} * weight - 0.001", f"rest >= {BARE_SHARE * BARE_RATIO} * weight - 0.001"
+    # of two titles the n-gram is in the short prefix of the lighter: one in no short prefix need not meet another such
+    bare = _grams(reps.where("size(surnames) = 0 and weight > 0")).where(long_).withColumn("q", F.expr(short))
+    full = _grams(reps.where("weight > 0")).where(long_).withColumn("q", F.explode(F.expr(f"if({short}, array(true, false), array(true))")))
     dated = bare.where("year is not null").withColumn("y", F.explode(F.expr("array_distinct(array(shiftright(year - 2, 2), shiftright(year + 2, 2), cast(null as int)))")))
+    post = lambda df, *cell, more=more: _post(df, *cell, "q", rest="rest", weight="weight", more=more)
     kinds = (
-        (_post(dated, "gram", "y", rest="rest", weight="weight", more=(*more, "marks")), _post(full, "gram", F.expr("shiftright(year, 2)"), rest="rest", weight="weight", more=more)),
-        (_post(bare.where("year is null"), "gram", rest="rest", weight="weight", more=(*more, "marks")), _post(full, "gram", rest="rest", weight="weight", more=more)),
-    )
+        (post(dated, "gram", "y", more=(*more, "marks")), post(full, "gram", F.expr("shiftright(year, 2)"))),
+        (post(bare.where("year is null"), "gram", more=(*more, "marks")), post(full, "gram")),
+    )
     bits = "bit_count(sig0_a & sig0_b) + bit_count(sig1_a & sig1_b) >= case when weight_a < weight_b then need_a when weight_b < weight_a then need_b else least(need_a, need_b) end"
     shared = f"aggregate(marks, 0, (t, m) -> t + case when bit_get(case when m & 64 = 0 then sig0_b else sig1_b end, m & 63) = 1 then shiftright(m, 7) else 0 end) >= {BARE_SHARE} * least(weight_a, weight_b) - 0.001"
     out = []
