@@ -32,7 +32,10 @@ def pagerank(e: DataFrame, rounds: int = 45, damping: float = 0.85, every: int =
     und = e.select(F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"))
     both = und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     deg = both.groupBy("a").agg(F.count("*").alias("d"))
-    links = materialize(both.join(deg, "a").repartition("a"), "links")
+    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    written_links = materialize(both.join(deg, "a"), "links")
+    # kept partitioned by their start, so that a round moves only what is handed on; a lost block is read from the table again
+    links = written_links.repartition(parts, "a").persist()
     n = deg.count()
     base = (1 - damping) / max(n, 1)
     ranks = materialize(deg.select(F.col("a").alias("node"), F.lit(1.0 / max(n, 1)).alias("score")), "ranks")
@@ -44,7 +47,8 @@ def pagerank(e: DataFrame, rounds: int = 45, damping: float = 0.85, every: int =
             ranks = materialize(got, "ranks")
             discard(written)
             written = ranks
-    discard(links)
+    links.unpersist()
+    discard(written_links)
     return ranks
 
 

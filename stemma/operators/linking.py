@@ -165,7 +165,11 @@ def cluster(records: DataFrame) -> DataFrame:
             u.join(int(e.i), int(e.j), bool(e.strong))
         return pd.DataFrame({"node": list(u.parent), "cluster": [u.find(n) for n in u.parent]})
 
-    joined = ev.unionByName(st).groupBy("component").applyInPandas(replay, "node bigint, cluster bigint")
+    # only a second DOI can refuse a link: components without one are one cluster as they are, whatever
+    # their size, and the links are replayed in order only where there are two DOIs or more
+    contested = materialize(st.select("component", F.explode("dois").alias("doi")).groupBy("component").agg(F.count_distinct("doi").alias("n")).where("n > 1").select("component"), "contested")
+    settled = comp.join(contested, "component", "left_anti").select("node", F.col("component").alias("cluster"))
+    joined = ev.unionByName(st).join(contested, "component", "left_semi").groupBy("component").applyInPandas(replay, "node bigint, cluster bigint").unionByName(settled)
     top = home.join(joined, "node", "left").select("record_id", "node", F.coalesce("cluster", "node").alias("c"))
     least = top.groupBy("c").agg(F.min("record_id").alias("cluster"))
     return top.join(least, "c").select("record_id", "cluster")

@@ -59,6 +59,14 @@ class LatestTable:
         merged = latest(self.read(spark, batch_id).unionByName(latest(good.select(columns))))
         merged.write.mode("overwrite").parquet(f"{self.folder}/gen-{batch_id:08d}")
         bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.folder}/rejects/gen-{batch_id:08d}")
+        self._forget(spark)
+
+    def _forget(self, spark: SparkSession) -> None:
+        """Deletes generations that no batch starts from any more: the last batch may be applied again, so two before it stay."""
+        jvm = spark.sparkContext._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for g in self._generations(spark)[:-3]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{g}"), True)
 
 
 def run_available(spark: SparkSession, log_folder: str, table: LatestTable, checkpoint: str) -> None:
