@@ -83,6 +83,20 @@ def test_candidates_miss_no_similar_pair(spark, data):
     assert checked > 30 and bare > 0
 
 
+def test_blocks_dealt_in_parts_give_the_same_pairs(spark, monkeypatch):
+    """A row moves once per surname and not once per n-gram; a surname of many rows is dealt in parts, without losing a pair."""
+    title = "The lost letters of Xanthemon at Nerapolis"
+    rows = [rec(i, title.replace("Xanthemon", w) + (": Text and translation" if i % 3 else ""), ("Lindqvist, Oliver",) if i % 5 else None, 1990 + i % 4 if i % 7 else None) for i, w in enumerate(_words(1)[:12] * 4)]
+    rows += [rec(100 + i, None, year=1990, isbn=["978-3-16-148410-0"]) for i in range(2)]
+    reps = _weighed(records.normalised(spark.createDataFrame(rows, CORPUS))).cache()
+    aliases = p1_neardup.surname_aliases(reps)
+    assert p1_neardup.blocks(reps, aliases).count() == reps.where("size(surnames) > 0").count()
+    want = {tuple(r) for r in p1_neardup.candidates(reps, aliases).collect()}
+    monkeypatch.setattr(p1_neardup, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(p1_neardup, "BARE_ROWS", 10)
+    assert {tuple(r) for r in p1_neardup.candidates(reps, aliases).collect()} == want and (100, 101) in want and len(want) > 100
+
+
 def test_many_rows_of_one_doi_meet_by_their_words(spark, monkeypatch):
     rows = [rec(i, f"Chapter of {w} and {v}", (f"Person{w}, Ada",), 1990, "10.5555/book") for i, (w, v) in enumerate(zip(_words(1), _words(2))) if i < 40]
     rows += [rec(100, "Chapter of " + _words(1)[7] + " and " + _words(2)[7], None, 1990, "10.5555/book"), rec(101, None, (f"Person{_words(1)[9]}, A.",), 1990, "10.5555/book")]
