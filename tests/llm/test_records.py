@@ -97,6 +97,18 @@ def test_blocks_dealt_in_parts_give_the_same_pairs(spark, monkeypatch):
     assert {tuple(r) for r in p1_neardup.candidates(reps, aliases).collect()} == want and (100, 101) in want and len(want) > 100
 
 
+def test_rows_without_authors_move_once(spark):
+    """Rows without names and names without a surname meet the others in one set of blocks, and only those they can be accepted with."""
+    title = "The lost letters of Xanthemon at Nerapolis"
+    reps = [(1, title, "", True, []), (2, title, "", False, []), (3, title, "x|=x", False, []), (4, title, "y|z", True, ["y"]), (5, title, "y|z", False, ["y"])]
+    reps = spark.createDataFrame([(i, 1990, None, t, None, names, a, [1 << 6 | 40, 2 << 6 | 30], tell, 70) for i, t, a, tell, names in reps], "rid bigint, year int, doi string, title string, vol int, surnames array<string>, authors string, grams array<int>, telling boolean, weight int")
+    got = p1_neardup.without_authors(reps, telling=True)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    # 1 asks titles that tell enough (4), 3 asks names (4 and 5), 2 asks nothing
+    assert {tuple(r) for r in got.collect()} == {(1, 4), (3, 4), (3, 5)}
+    assert {tuple(r) for r in p1_neardup.without_authors(reps).collect()} == {(1, 2), (1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5)}
+
+
 def test_many_rows_of_one_doi_meet_by_their_words(spark, monkeypatch):
     rows = [rec(i, f"Chapter of {w} and {v}", (f"Person{w}, Ada",), 1990, "10.5555/book") for i, (w, v) in enumerate(zip(_words(1), _words(2))) if i < 40]
     rows += [rec(100, "Chapter of " + _words(1)[7] + " and " + _words(2)[7], None, 1990, "10.5555/book"), rec(101, None, (f"Person{_words(1)[9]}, A.",), 1990, "10.5555/book")]
