@@ -6,6 +6,7 @@ import pytest
 
 from stemma.llm import p1_neardup, p3_names, p6_survivor, records
 from stemma.llm.names import given_key, givens_match, near, org_match, parse
+from stemma.session import materialize
 
 CORPUS = (
     "record_id bigint, source string, source_id string, sources array<struct<source:string,source_id:string>>, title string, authors array<struct<name:string,role:string,type:string,gnd:string>>, year int, doi string, isbn array<string>, "
@@ -109,6 +110,22 @@ def test_rows_without_authors_move_once(spark):
     assert {tuple(r) for r in p1_neardup.without_authors(reps).collect()} == {(1, 2), (1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5)}
 
 
+def test_texts_move_once_to_find_the_fullest(spark, monkeypatch):
+    seen = {}
+
+    def kept(df, name):
+        if name == "claims":
+            df.collect()
+            seen[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, name)
+
+    monkeypatch.setattr(p6_survivor, "materialize", kept)
+    c = spark.createDataFrame([rec(1, "The school of Xanthemon", abstract=LONG), rec(2, "The school of Xanthemon: A new study"), rec(3, None), rec(4, None)], CORPUS)
+    got = p6_survivor.claims(c, spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "record_id bigint, group_id bigint"))
+    assert {(r["record_id"], r["field"]) for r in got.where("whole").collect()} == {(1, "abstract"), (2, "title")} and got.count() == 8
+    assert "ReusedExchange" in seen["claims"]
+
+
 def test_many_rows_of_one_doi_meet_by_their_words(spark, monkeypatch):
     rows = [rec(i, f"Chapter of {w} and {v}", (f"Person{w}, Ada",), 1990, "10.5555/book") for i, (w, v) in enumerate(zip(_words(1), _words(2))) if i < 40]
     rows += [rec(100, "Chapter of " + _words(1)[7] + " and " + _words(2)[7], None, 1990, "10.5555/book"), rec(101, None, (f"Person{_words(1)[9]}, A.",), 1990, "10.5555/book")]
