@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from stemma.llm import p1_neardup, p3_names, p6_survivor, records
+from stemma.llm import encoding, names, p1_neardup, p3_names, p6_survivor, records
 from stemma.llm.names import given_key, givens_match, near, org_match, parse
 from stemma.session import materialize
 
@@ -110,6 +110,50 @@ def test_rows_without_authors_move_once(spark):
     assert {tuple(r) for r in p1_neardup.without_authors(reps).collect()} == {(1, 2), (1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5)}
 
 
+def test_rows_without_authors_are_verified_where_they_meet(spark, data, monkeypatch):
+    """Whole rows and n-grams alone give the same groups; where no block is dealt in many parts, no pair is joined to its rows again."""
+    tables = []
+    monkeypatch.setattr(p1_neardup, "materialize", lambda df, name="step": tables.append(name) or materialize(df, name))
+    c = spark.read.parquet(f"{data}/corpus.parquet")
+    got = {tuple(r) for r in p1_neardup.groups(c).collect()}
+    bare = {r[0] for r in c.where("coalesce(size(authors), 0) <= 0").select("record_id").collect()}
+    assert "pairs" not in tables and bare & {r for r, _ in got}
+    monkeypatch.setattr(p1_neardup, "WHOLE_PARTS", 0)
+    assert {tuple(r) for r in p1_neardup.groups(c).collect()} == got and "pairs" in tables
+
+
+def test_names_in_two_words_are_read_as_before():
+    """The short way reads what the long way reads, or leaves it alone."""
+    told = ["Émile Zorn", "Zorn, Émile", "Zorn,Emil", "E. Zorn", "Zorn E.", "Zorn E", "Zorn, Wm. A.", "Zorn William", "William Robert", "Æ. Zorn"]
+    left = ["Prof. Zorn", "de Zorn", "ZORN Emil", "A. B.", "Zorn-Ek, A.", "Zorn, A. B.C.", "Zorn", "Emil van Zorn", "Zorn, Emil, 1942-"]
+    for name in told + left:
+        f = names._two_words(name)
+        assert (f is not None) == (name in told), name
+        assert f in (None, names._person(name, None)), name
+    for text in ["Größe", "ÆØÅ ǅ ℡", "Ἀρχὴ σοφίας ἡ τῶν πατέρων", "İstanbul Straße", "plain"]:
+        assert names.strip_marks(text) == (text.lower() if text.isascii() else text.translate(names._FOLD))
+        f = names.strip_marks(text)
+        assert records._words(f) == records._WORD.findall(f)
+
+
+def test_suspicious_is_told_at_its_first_sign():
+    letters = "aeéÉßﬂnt &#;2xàÃ©ØÞαΑжЖ™”…­ ĄšŠ.-'"
+    for i, x in enumerate(letters):
+        for y in letters:
+            for z in letters[i % 3 :: 3] + "&":
+                for t in (x + y + z, x + y + z + "amp;"):
+                    assert encoding._suspicious(t) == (encoding._SUSPICIOUS.search(t) is not None), t
+
+
+def test_shingles_are_counted_once_and_in_order():
+    words = "one two three four five six seven eight"
+    import pyarrow as pa
+
+    texts = [words + " " + words, words, "too few words", None, words.upper() + "!"]
+    got = [x for b in p1_neardup._shingled([pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts, pa.string())], names=["rid", "abstract"])]) for x in b.column("shingles").to_pylist()]
+    assert [len(x) for x in got] == [8, 4, 0, 0, 4] and got[1] == got[4] == sorted(set(got[1])) and set(got[1]) < set(got[0])
+
+
 def test_texts_move_once_to_find_the_fullest(spark, monkeypatch):
     seen = {}
 
