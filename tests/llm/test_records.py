@@ -170,6 +170,37 @@ def test_texts_move_once_to_find_the_fullest(spark, monkeypatch):
     assert "ReusedExchange" in seen["claims"]
 
 
+def test_texts_do_not_move_to_find_their_group(spark, monkeypatch):
+    """Few groups come to the texts; many are joined by merging, with the same claims."""
+    plans = []
+
+    def kept(df, name):
+        if name == "states":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    monkeypatch.setattr(p6_survivor, "materialize", kept)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c = spark.createDataFrame([rec(1, "The school of Xanthemon", abstract=LONG), rec(2, "The school of Xanthemon: A new study"), rec(3, "Alone")], CORPUS)
+        groups = spark.createDataFrame([(1, 1), (2, 1)], "record_id bigint, group_id bigint")
+        got = sorted(map(tuple, p6_survivor.claims(c, groups).collect()))
+        monkeypatch.setattr(p6_survivor, "BROADCAST_ROWS", 1)
+        assert sorted(map(tuple, p6_survivor.claims(c, groups).collect())) == got and len(got) == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plans[0] and "hashpartitioning" not in plans[0] and "SortMergeJoin" in plans[1]
+
+
+def test_ends_of_texts_are_told_as_the_patterns_tell_them():
+    for body in ("", "It ends", "It ends.", "It ends. [1]", "He said (see below"):
+        for end in ("", ".", "...", "…", ".…", "?”", "!)", ".)]", " [more]", ". [ more ]", ". (more)", ".[mehr", " (more", "[...]", ". [suite])", ".(more]", "]", ".'"):
+            text = (body + end).strip()
+            assert p6_survivor._broken(text) == (bool(p6_survivor._BROKEN.search(text)) or not p6_survivor._ENDS.search(text)), text
+
+
 def test_many_rows_of_one_doi_meet_by_their_words(spark, monkeypatch):
     rows = [rec(i, f"Chapter of {w} and {v}", (f"Person{w}, Ada",), 1990, "10.5555/book") for i, (w, v) in enumerate(zip(_words(1), _words(2))) if i < 40]
     rows += [rec(100, "Chapter of " + _words(1)[7] + " and " + _words(2)[7], None, 1990, "10.5555/book"), rec(101, None, (f"Person{_words(1)[9]}, A.",), 1990, "10.5555/book")]
